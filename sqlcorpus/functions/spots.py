@@ -4,15 +4,15 @@ A pass first marks the spots it wants to replace with one ``regexp_replace``:
 
     gap OPEN payload CLOSE gap OPEN payload CLOSE gap ...
 
-``split`` on ``OPEN`` then gives the gaps and payloads, a ``transform`` turns each
-payload into a *spot*, names are given to all spots at once, and the text is put
-together again.
-
-Expressions are written as Spark SQL text: a pass is a handful of higher-order
-functions, and one parsed string per column is far cheaper to build from Python
-than thousands of ``Column`` calls. Every step is its own projection under a new
-column name, so the optimiser never has to repeat a sub-expression and the plan
-grows linearly with the passes; unused columns are pruned.
+Native string functions then give the payloads and the gaps as arrays, names are
+given to all spots at once, and the text is put together again. Higher-order
+functions, which Spark interprets, touch only texts that have a mark, and as few
+elements as possible.
+
+Expressions are written as Spark SQL text: one parsed string per column is far
+cheaper to build from Python than thousands of ``Column`` calls. Every pass is its
+own projection under a new column name, so the optimiser never has to repeat a
+sub-expression and the plan grows linearly with the passes.
 """
 
 from __future__ import annotations
@@ -21,119 +21,172 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .text import CLOSE, OPEN, SEP, sql_text
+from .text import CLOSE, OPEN, SEP, SPACE, sql_text
 
-PARAM_TYPE = "array<struct<name:string,type:string,description:string,kind:string,example:string>>"
+_ONE_MARK = sql_text(f"{OPEN}([^{CLOSE}]*){CLOSE}")
 
 
-def field(bit: str, i: int) -> str:
-    return f"get({bit}.f, {i})"
+def let(value: str, var: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``var`` in ``body``.
+
+    A fold over nothing hands its start value to its finish function, and unlike
+    ``transform`` it does not copy the result.
+    """
+    return f"aggregate(array(), {value}, (a0, e0) -> a0, {var} -> {body})"
 
 
 def placeholder(name: str) -> str:
     return f"concat('{{{{.', {name}, '}}}}')"
 
 
-def spot(base: str, example: str, what: str, before: str, after: str) -> str:
-    return (
-        f"named_struct('base', {base}, 'example', {example}, 'what', {what}, "
-        f"'before', {before}, 'after', {after})"
-    )
-
-
-def param(name: str, what: str, kind: str, example: str) -> str:
-    return (
-        f"named_struct('name', {name}, 'type', 'string', "
-        f"'description', concat({what}, ' (e.g., ', {example}, ')'), "
-        f"'kind', '{kind}', 'example', {example})"
-    )
-
-
-def let(value: str, var: str, body: str) -> str:
-    """Evaluate ``value`` once and use it as ``var`` in ``body``."""
-    return f"get(transform(array({value}), {var} -> {body}), 0)"
-
-
 class Rewriter:
-    """A DataFrame in the middle of the template stage: its current text and parameters."""
+    """A DataFrame in the middle of the template stage.
+
+    The state is one struct column: the current ``text`` and, one entry per
+    parameter, its ``names``, what it is (``whats``) and its ``examples``. Each pass
+    is one projection that replaces the state, and leaves it alone where its
+    guard (a cheap substring test on the upper-cased statement) or its mark finds
+    nothing.
+    """
 
-    def __init__(self, df: DataFrame, text: str, params: str) -> None:
+    def __init__(self, df: DataFrame, sql: str, text: str) -> None:
         self.df = df
         self.kept = df.columns
         self._n = 0
-        self.text, self.params = self.add(text, params)
+        none = "CAST(array() AS array<string>)"
+        self.state = self._add(
+            f"named_struct('text', {text}, 'names', {none}, 'whats', {none}, 'examples', {none})"
+        )
+        self.upper = self._add(f"upper({sql})")
 
-    def add(self, *expressions: str) -> list[str]:
-        """Add one projection with new columns; returns their names."""
-        names = [f"__t{self._n + i}" for i in range(len(expressions))]
-        self._n += len(expressions)
-        self.df = self.df.selectExpr("*", *[f"{e} AS {n}" for e, n in zip(expressions, names)])
-        return names
+    def _add(self, expression: str) -> str:
+        self._n += 1
+        name = f"__t{self._n}"
+        self.df = self.df.selectExpr("*", f"{expression} AS {name}")
+        return name
 
-    def cut(self, marked: str, make: Callable[[str], str]) -> str:
-        """Split marked text into its ``head`` and one ``items`` entry per mark.
+    @property
+    def text(self) -> str:
+        return f"{self.state}.text"
 
-        ``make`` builds an entry from a bit: payload fields ``f`` and the ``gap`` behind it.
-        """
-        bits = (
-            f"transform(slice(p, 2, size(p)), s -> named_struct("
-            f"'f', split(substring_index(s, '{CLOSE}', 1), '{SEP}'), "
-            f"'gap', substring_index(s, '{CLOSE}', -1)))"
-        )
-        cut = f"named_struct('head', get(p, 0), 'items', transform({bits}, b -> {make('b')}))"
-        return self.add(let(f"split({marked}, '{OPEN}')", "p", cut))[0]
+    def step(self, guard: str, new_state: str) -> None:
+        self.state = self._add(f"if({guard}, {new_state}, {self.state})")
 
-    def _names(self, spots: str) -> str:
-        """One unused name per spot, in text order.
+    def mentions(self, *words: str) -> str:
+        """Guard: the original statement has one of the upper-case words."""
+        return "(" + " OR ".join(f"contains({self.upper}, '{w}')" for w in words) + ")"
 
-        The n-th use of a base wishes for ``base``, ``base_1``, ``base_2`` ... If all
-        wishes differ and none is in use already, they are the answer. Only
-        otherwise (a literal happens to look like another one's numbered name)
-        the names are given one by one.
-        """
-        base, used = f"{spots}.base", f"{self.params}.name"
-        earlier = f"i - size(array_remove(slice({base}, 1, i), b))"
-        wishes = (
-            f"if(size(array_distinct({base})) = size({base}), {base}, transform({base}, (b, i) -> "
-            f"{let(earlier, 'n', "if(n = 0, b, concat(b, '_', n))")}))"
+    def marked(self, rx: str, mark: str, *empty: tuple[str, str]) -> str:
+        """Mark all matches; then put ``empty`` marks, of matches that stay, right again."""
+        out = f"regexp_replace({self.text}, {sql_text(rx)}, {sql_text(mark)})"
+        for text, instead in empty:
+            out = f"replace({out}, '{text}', '{instead}')"
+        return f"replace({out}, '{SPACE}', ' ')" if SPACE in mark else out
+
+    def if_marked(self, marked: str, new_state: str) -> str:
+        """``new_state``, an expression over the marked text ``m``, if there is a mark at all."""
+        return let(marked, "m", f"if(contains(m, '{OPEN}'), {new_state}, {self.state})")
+
+    def extended(self, text: str, names: str, whats: str, examples: str) -> str:
+        st = self.state
+        return (
+            f"named_struct('text', {text}, 'names', concat({st}.names, {names}), "
+            f"'whats', concat({st}.whats, {whats}), 'examples', concat({st}.examples, {examples}))"
         )
+
+    def named(
+        self,
+        marked: str,
+        what: str,
+        base: str = "",
+        bases: str = "",
+        examples: str = "x",
+        whats: str = "",
+    ) -> str:
+        """New state with all marks turned into named placeholders.
+
+        ``x`` is the array of payloads. All spots share the name ``base``, or ``bases`` gives
+        one for each.
+        """
+        gaps = f"split(regexp_replace({marked}, {_ONE_MARK}, '{OPEN}'), '{OPEN}')"
+        text = f"array_join(zip_with({gaps}, k, (g, n) -> concat(g, coalesce({placeholder('n')}, ''))), '')"
+        state = self.extended(text, "k", whats or f"array_repeat('{what}', size(k))", examples)
+        names = self._names(bases) if bases else self._numbered(base)
+        return let(f"regexp_extract_all({marked}, {_ONE_MARK}, 1)", "x", let(names, "k", state))
+
+    def replace(self, guard: str, marked: str, what: str, **named: str) -> None:
+        self.step(guard, self.if_marked(marked, self.named("m", what, **named)))
+
+    def _one_by_one(self, bases: str) -> str:
         first_free = (
             "get(array_except(transform("
             "sequence(1, size(filter(got, u -> startswith(u, concat(b, '_')))) + 1), "
             "i -> concat(b, '_', i)), got), 0)"
         )
-        one_by_one = (
-            f"aggregate({base}, {used}, (got, b) -> array_append(got, "
+        used = f"{self.state}.names"
+        fold = (
+            f"aggregate({bases}, {used}, (got, b) -> array_append(got, "
             f"if(array_contains(got, b), {first_free}, b)))"
         )
-        clash = f"arrays_overlap(w, {used}) OR size(array_distinct(w)) < size(w)"
-        given = f"if({clash}, slice({one_by_one}, size({used}) + 1, size(w) + 1), w)"
-        return self.add(let(wishes, "w", given))[0]
-
-    def replace(self, marked: str, make_spot: Callable[[str], str], kind: str) -> None:
-        """Turn all marks into named placeholders; extend text and parameters."""
-        cut = self.cut(marked, make_spot)
-        spots = f"{cut}.items"
-        names = self._names(spots)
-        self.text, self.params = self.add(
-            f"concat({cut}.head, array_join(zip_with({spots}, {names}, "
-            f"(s, n) -> concat(s.before, {placeholder('n')}, s.after)), ''))",
-            f"concat({self.params}, zip_with({spots}, {names}, "
-            f"(s, n) -> {param('n', 's.what', kind, 's.example')}))",
+        return f"slice({fold}, size({used}) + 1, size({bases}) + 1)"
+
+    def _numbered(self, base: str) -> str:
+        """Names for spots of one base: ``base``, ``base_1``, ``base_2`` ... leaving out used ones."""
+        used = f"{self.state}.names"
+        wishes = f"transform(x, (e, i) -> if(i = 0, '{base}', concat('{base}_', i)))"
+        all_wishes = (
+            f"transform(sequence(0, size(x) + size({used})), i -> if(i = 0, '{base}', concat('{base}_', i)))"
         )
+        others = f"slice(array_except({all_wishes}, {used}), 1, size(x))"
+        return let(wishes, "w", f"if(arrays_overlap(w, {used}), {others}, w)")
 
-    def marked(self, rx: str, mark: str, empty: str | None = None) -> str:
-        """Mark all matches; marks whose payload is ``empty`` are taken out again."""
-        out = f"regexp_replace({self.text}, {sql_text(rx)}, {sql_text(mark)})"
-        return out if empty is None else f"replace({out}, '{OPEN}{empty}{CLOSE}', '')"
+    def _names(self, bases: str) -> str:
+        """One unused name per spot, in text order.
+
+        The n-th use of a base wishes for ``base``, ``base_1``, ``base_2`` ... If all
+        wishes differ and none is in use already, they are the answer. Only
+        otherwise (a literal happens to look like another one's numbered name)
+        the names are given one by one.
+        """
+        used = f"{self.state}.names"
+        earlier = "i - size(array_remove(slice(a, 1, i), b))"
+        wishes = f"transform(a, (b, i) -> {let(earlier, 'n', "if(n = 0, b, concat(b, '_', n))")})"
+        clash = f"arrays_overlap(w, {used}) OR size(array_distinct(w)) < size(w)"
+        given = f"if({clash}, {self._one_by_one('a')}, w)"
+        single = f"size(a) = 1 AND NOT array_contains({used}, get(a, 0))"
+        wished = f"if(size(array_distinct(a)) = size(a), a, {wishes})"
+        return let(bases, "a", f"if({single}, a, {let(wished, 'w', given)})")
 
-    def with_new(self, regs: str) -> str:
-        """The parameters and those of ``regs`` whose name is not in use."""
+    def with_new(self, text: str, regs: str) -> str:
+        """New state with those of ``regs`` (name, what, example) added whose name is not in use."""
         fresh = (
-            f"filter(g, (r, i) -> NOT array_contains({self.params}.name, r.name) "
+            f"filter(g, (r, i) -> NOT array_contains({self.state}.names, r.name) "
             "AND array_position(g.name, r.name) = i + 1)"
         )
-        return f"concat({self.params}, {let(regs, 'g', fresh)})"
+        state = self.extended(text, "f.name", "f.what", "f.example")
+        return let(regs, "g", let(fresh, "f", state))
 
     def done(self, *extra: str) -> DataFrame:
         return self.df.selectExpr(*[f"`{c}`" for c in self.kept], *extra)
+
+
+def reg(name: str, what: str, example: str) -> str:
+    return f"named_struct('name', '{name}', 'what', '{what}', 'example', {example})"
+
+
+def field(bit: str, i: int) -> str:
+    return f"get({bit}.f, {i})"
+
+
+def cut(marked: str, make: Callable[[str], str]) -> str:
+    """Marked text as its ``head`` and one ``items`` entry per mark.
+
+    ``make`` builds an entry from a bit: payload fields ``f`` and the ``gap`` behind it.
+    """
+    bits = (
+        f"transform(slice(p, 2, size(p)), s -> named_struct("
+        f"'f', split(substring_index(s, '{CLOSE}', 1), '{SEP}'), "
+        f"'gap', substring_index(s, '{CLOSE}', -1)))"
+    )
+    parts = f"named_struct('head', get(p, 0), 'items', transform({bits}, b -> {make('b')}))"
+    return let(f"split({marked}, '{OPEN}')", "p", parts)

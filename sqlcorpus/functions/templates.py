@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..config import CurationConfig
-from .spots import PARAM_TYPE, Rewriter, field, param, placeholder, spot
+from .spots import Rewriter, cut, field, let, placeholder, reg
 from .text import (
     CLOSE,
     D,
@@ -21,10 +21,12 @@ from .text import (
     OPEN,
     S,
     SEP,
+    SPACE,
     W,
     shield_sql,
     shielded_sql,
     sql_text,
+    starts,
     strip_sql,
     unshield_sql,
 )
@@ -36,6 +38,29 @@ RENAMED = {"limit": "limit_n", "offset": "offset_n"}
 LOOK_BACK = 40
 NAME_LENGTH = 20
 AGGREGATES = ["COUNT", "SUM", "AVG", "MAX", "MIN", "GROUP_CONCAT", "DISTINCT"]
+# What a parameter stands for (its description), and our kind for it.
+PATTERN, LITERAL, NUMBER = "String pattern for LIKE", "String value", "Numeric value"
+TABLE, SELECTED, FILTERED, JOINED = "Table name", "Column to select", "Column to filter on", "Column to join on"
+GROUPED, ORDERED, DIRECTION = "Column to group by", "Column to order by", "Sort direction (ASC/DESC)"
+LIMIT, OFFSET = "Maximum number of rows", "Number of rows to skip"
+KINDS = {
+    PATTERN: "literal",
+    LITERAL: "literal",
+    NUMBER: "number",
+    TABLE: "table",
+    SELECTED: "column",
+    FILTERED: "column",
+    JOINED: "column",
+    GROUPED: "column",
+    ORDERED: "column",
+    DIRECTION: "direction",
+    LIMIT: "paging",
+    OFFSET: "paging",
+}
+_PARAM = (
+    "named_struct('name', n, 'type', 'string', 'description', concat(w, ' (e.g., ', e, ')'), "
+    "'kind', CASE w {kinds} END, 'example', e)"
+)
 COMPARISONS = ["=", "!=", "<>", ">=", "<=", ">", "<"]
 WORD_OPERATORS = ["IN", rf"NOT{S}+IN", "LIKE", rf"NOT{S}+LIKE", "IS", rf"IS{S}+NOT"]
 
@@ -50,32 +75,32 @@ def _mark(*fields: str) -> str:
 def _literal_rules(cfg: CurationConfig) -> list[str]:
     """Per quote: group 1 is a literal that stays, group 2 the text of one that goes."""
     kept = "|".join(KEPT_LITERALS)
-    double = rf'{I}("(?:[^"]|{kept})")|"([^"]+)"'
+    double = rf'(?=")(?:{I}("(?:[^"]|{kept})")|"([^"]+)")'
     if not cfg.clean:
-        return [double, rf"{I}('(?:[^']|{kept})')|'([^']+)'"]
+        return [double, rf"(?=')(?:{I}('(?:[^']|{kept})')|'([^']+)')"]
     # a doubled quote belongs to the literal; an empty literal is skipped whole
-    single = rf"{I}('(?:[^']|{kept})?'(?!'))|'((?:[^']|'')[^']*+(?:''[^']*+)*+)'"
+    single = rf"(?=')(?:{I}('(?:[^']|{kept})?'(?!'))|'((?:[^']|'')[^']*+(?:''[^']*+)*+)')"
     return [double, single] if cfg.double_quotes == "literal" else [single]
 
 
 def string_literals(rw: Rewriter, cfg: CurationConfig) -> None:
-    def make(bit: str) -> str:
-        value = field(bit, 0)
-        slug = (
-            f"substring(btrim(regexp_replace(lower(replace({value}, '%', '')), '[^a-z0-9]+', '_'), '_'), "
-            f"1, {NAME_LENGTH})"
-        )
-        renamed = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RENAMED.items())
-        named = "if(w RLIKE '^[0-9]', concat('v_', w), w)" if cfg.clean else "w"
-        base = (
-            f"get(transform(array({slug}), w -> CASE w {renamed} "
-            f"WHEN '' THEN if(contains({value}, '%'), 'pattern', 'str_value') ELSE {named} END), 0)"
-        )
-        what = f"if(contains({value}, '%'), 'String pattern for LIKE', 'String value')"
-        return spot(base, value, what, "''", f"{bit}.gap")
-
+    slug = (
+        f"substring(btrim(regexp_replace(lower(replace(v, '%', '')), '[^a-z0-9]+', '_'), '_'), 1, {NAME_LENGTH})"
+    )
+    renamed = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RENAMED.items())
+    named = "if(s RLIKE '^[0-9]', concat('v_', s), s)" if cfg.clean else "s"
+    base = let(
+        slug, "s", f"CASE s {renamed} WHEN '' THEN if(contains(v, '%'), 'pattern', 'str_value') ELSE {named} END"
+    )
     for rx in _literal_rules(cfg):
-        rw.replace(rw.marked(rx, _mark("$2") + "$1", ""), make, "literal")
+        quote = "'\"'" if rx.startswith('(?=")') else '"\'"'
+        rw.replace(
+            f"contains({rw.text}, {quote})",
+            rw.marked(rx, _mark("$2") + "$1", (_mark(), "")),
+            "",
+            bases=f"transform(x, v -> {base})",
+            whats=f"transform(x, v -> if(contains(v, '%'), '{PATTERN}', '{LITERAL}'))",
+        )
 
 
 # --- T2 numeric literals -----------------------------------------------------
@@ -85,19 +110,20 @@ def numeric_literals(rw: Rewriter, cfg: CurationConfig) -> None:
     """A number counts if the 40 characters before it speak of a condition and not of paging."""
 
     def within(*words: str) -> str:
-        return "|".join(rf"{w}(?s:.{{0,{LOOK_BACK - len(w)}}})" for w in words)
+        return "|".join(
+            rf"(?=[{w[0]}{w[0].lower()}]){w}(?s:.{{0,{LOOK_BACK - len(w)}}})" for w in words
+        )
 
-    condition = within("WHERE", "HAVING", "BETWEEN") + rf"|[<>=](?s:.{{0,{LOOK_BACK - 1}}})"
+    condition = rf"[<>=](?s:.{{0,{LOOK_BACK - 1}}})|" + within("WHERE", "HAVING", "BETWEEN")
     before = rf"(?<!{within('LIMIT', 'OFFSET')})(?<={condition})"
     number = rf"{D}+(?:\.{D}+)?"
-    rx = rf"{I}{NOT_AFTER_WORD}(?:{before}({number})|({number})){NOT_BEFORE_WORD}"
-
-    def make(bit: str) -> str:
-        value = field(bit, 0)
-        base = f"if(contains({value}, '.'), 'threshold', 'value')"
-        return spot(base, value, "'Numeric value'", "''", f"{bit}.gap")
-
-    rw.replace(rw.marked(rx, _mark("$1") + "$2", ""), make, "number")
+    rx = rf"(?={D}){NOT_AFTER_WORD}{I}(?:{before}({number})|({number})){NOT_BEFORE_WORD}"
+    rw.replace(
+        rw.mentions("WHERE", "HAVING", "BETWEEN", "<", "=", ">") + f" AND {rw.text} RLIKE {sql_text(D)}",
+        rw.marked(rx, _mark("$1") + "$2", (_mark(), "")),
+        NUMBER,
+        bases="transform(x, v -> if(contains(v, '.'), 'threshold', 'value'))",
+    )
 
 
 # --- T3 table names ----------------------------------------------------------
@@ -106,14 +132,17 @@ def numeric_literals(rw: Rewriter, cfg: CurationConfig) -> None:
 def table_names(rw: Rewriter, cfg: CurationConfig) -> None:
     name = rf"{IDENT}(?:\.{IDENT})*" if cfg.clean else IDENT
     rx = (
-        rf"{I}{NOT_AFTER_WORD}(FROM|JOIN|INTO|UPDATE)"
+        rf"{starts('FJIU')}(FROM|JOIN|INTO|UPDATE)"
         rf"(?:({S}+(?:SELECT|VALUES){NOT_BEFORE_WORD})|{S}+({name}))"
     )
 
-    def make(bit: str) -> str:
-        return spot("'table'", field(bit, 0), "'Table name'", "' '", f"{bit}.gap")
-
-    rw.replace(rw.marked(rx, "$1$2" + _mark("$3"), ""), make, "table")
+    mark = "$1$2" + SPACE + _mark("$3")
+    rw.replace(
+        rw.mentions("FROM", "JOIN", "INTO", "UPDATE"),
+        rw.marked(rx, mark, (SPACE + _mark(), "")),
+        TABLE,
+        base="table",
+    )
 
 
 # --- T4 select list, T7 group list -------------------------------------------
@@ -132,18 +161,21 @@ def _listed(columns: str, item: str) -> str:
     return f"array_join(transform({items}, (c, i) -> {item}), ', ')"
 
 
-def _replace_list(rw: Rewriter, marked: str, render, what: str) -> None:
+def _replace_list(rw: Rewriter, guard: str, marked: str, render, what: str) -> None:
     """Rewrite each marked list to a text with marked items, then name those items."""
-    cut = rw.cut(marked, render)
-    rw.replace(
-        f"concat({cut}.head, array_join({cut}.items, ''))",
-        lambda b: spot(field(b, 0), field(b, 1), f"'{what}'", "''", f"{b}.gap"),
-        "column",
+    items = rw.named(
+        "l",
+        what,
+        bases=f"transform(x, e -> substring_index(e, '{SEP}', 1))",
+        examples=f"transform(x, e -> substring_index(e, '{SEP}', -1))",
     )
+    some = f"if(contains(l, '{OPEN}'), {items}, {rw.extended('l', *['array()'] * 3)})"
+    listed = let("concat(o.head, array_join(o.items, ''))", "l", some)
+    rw.step(guard, rw.if_marked(marked, let(cut("m", render), "o", listed)))
 
 
 def select_columns(rw: Rewriter, cfg: CurationConfig) -> None:
-    rx = rf"(?s){I}{NOT_AFTER_WORD}(SELECT){S}+(.*?){S}+(FROM){NOT_BEFORE_WORD}"
+    rx = rf"{starts('S')}(?s)(SELECT){S}+(.*?){S}+(FROM){NOT_BEFORE_WORD}"
     aggregate = sql_text(rf"{I}{NOT_AFTER_WORD}(?:{'|'.join(AGGREGATES)}){S}*\(")
     item = (
         f"if(contains(upper(c), ' AS ') OR contains(c, '.') OR NOT c RLIKE {_SIMPLE}, c, "
@@ -156,7 +188,8 @@ def select_columns(rw: Rewriter, cfg: CurationConfig) -> None:
         new = f"concat({field(bit, 1)}, ' ', {_listed(columns, item)}, ' ', {field(bit, 3)})"
         return f"concat(if({kept}, {field(bit, 0)}, {new}), {bit}.gap)"
 
-    _replace_list(rw, rw.marked(rx, _mark("$0", "$1", "$2", "$3")), render, "Column to select")
+    guard = rw.mentions("SELECT") + " AND " + rw.mentions("FROM")
+    _replace_list(rw, guard, rw.marked(rx, _mark("$0", "$1", "$2", "$3")), render, SELECTED)
 
 
 def group_columns(rw: Rewriter, cfg: CurationConfig) -> None:
@@ -167,7 +200,7 @@ def group_columns(rw: Rewriter, cfg: CurationConfig) -> None:
     else:
         items = r"[^;]+?"
         ends = rf"(?={S}+(?:ORDER|HAVING|LIMIT|;|\z))"
-    rx = rf"{I}{NOT_AFTER_WORD}(GROUP{S}+BY){S}+({items}){ends}"
+    rx = rf"{starts('G')}(GROUP{S}+BY){S}+({items}){ends}"
     dots = "length(c) - length(replace(c, '.', ''))"
     item = (
         "CASE WHEN contains(c, '(') THEN c "
@@ -182,7 +215,7 @@ def group_columns(rw: Rewriter, cfg: CurationConfig) -> None:
         new = f"concat({field(bit, 1)}, ' ', {_listed(columns, item)})"
         return f"concat(if(contains({columns}, '{{{{.'), {field(bit, 0)}, {new}), {bit}.gap)"
 
-    _replace_list(rw, rw.marked(rx, _mark("$0", "$1", "$2")), render, "Column to group by")
+    _replace_list(rw, rw.mentions("GROUP"), rw.marked(rx, _mark("$0", "$1", "$2")), render, GROUPED)
 
 
 # --- T5 first WHERE column, T6 first ON condition ----------------------------
@@ -198,28 +231,30 @@ def where_columns(rw: Rewriter, cfg: CurationConfig) -> None:
         op = rf"(?:(?:{signs})(?=[{W}])|(?:{words}){NOT_BEFORE_WORD})"
         gap = rf"{S}+"
     rx = (
-        rf"{I}{NOT_AFTER_WORD}(?:(WHERE){S}+(?:({IDENT}\.)([{W}]*)|({IDENT})){gap}({op})"
+        rf"{starts('W')}(?:(WHERE){S}+(?:({IDENT}\.)([{W}]*)|({IDENT})){gap}({op})"
         rf"|(WHERE{S}+[a-zA-Z_][{W}.]*{gap}{op}))"
     )
 
-    def make(bit: str) -> str:
-        before = f"concat(' ', {field(bit, 0)})"
-        after = f"concat(' ', {field(bit, 2)}, {bit}.gap)"
-        return spot("'where_col'", field(bit, 1), "'Column to filter on'", before, after)
-
-    rw.replace(rw.marked(rx, "$6$1" + _mark("$2", "$3$4", "$5"), SEP + SEP), make, "column")
+    mark = "$6$1" + SPACE + "$2" + _mark("$3$4") + SPACE + "$5"
+    rw.replace(
+        rw.mentions("WHERE"),
+        rw.marked(rx, mark, (SPACE + _mark() + SPACE, "")),
+        FILTERED,
+        base="where_col",
+    )
 
 
 def join_columns(rw: Rewriter, cfg: CurationConfig) -> None:
     whole = rf"(?![{W}.])"
     side = rf"(?:({IDENT}\.)([{W}]*){whole}|([a-zA-Z_][{W}]+){whole}|([a-zA-Z_][{W}.]+))"
-    rx = rf"{I}{NOT_AFTER_WORD}(ON){S}+{side}{S}*({'|'.join(COMPARISONS)}){S}*{side}"
-    left, right = (_mark(f"${g}", f"${g + 1}${g + 2}") + f"${g + 3}" for g in (2, 7))
-
-    def make(bit: str) -> str:
-        return spot("'join_col'", field(bit, 1), "'Column to join on'", field(bit, 0), f"{bit}.gap")
-
-    rw.replace(rw.marked(rx, f"$1 {left} $6 {right}", SEP), make, "column")
+    rx = rf"{starts('O')}(ON){S}+{side}{S}*({'|'.join(COMPARISONS)}){S}*{side}"
+    left, right = (f"${g}" + _mark(f"${g + 1}${g + 2}") + f"${g + 3}" for g in (2, 7))
+    rw.replace(
+        rw.mentions("ON"),
+        rw.marked(rx, f"$1 {left} $6 {right}", (" " + _mark(), " ")),
+        JOINED,
+        base="join_col",
+    )
 
 
 # --- T8 LIMIT, OFFSET, ORDER BY ----------------------------------------------
@@ -227,44 +262,34 @@ def join_columns(rw: Rewriter, cfg: CurationConfig) -> None:
 
 def page_sizes(rw: Rewriter, cfg: CurationConfig) -> None:
     """All LIMIT values share one parameter, and all OFFSET values another."""
-    for word, name, what in (
-        ("LIMIT", "limit_n", "Maximum number of rows"),
-        ("OFFSET", "offset_n", "Number of rows to skip"),
-    ):
-        rx = sql_text(rf"{I}{NOT_AFTER_WORD}{word}{S}+({D}+)")
+    for word, name, what in (("LIMIT", "limit_n", LIMIT), ("OFFSET", "offset_n", OFFSET)):
+        rx = sql_text(rf"{starts(word[0])}{word}{S}+({D}+)")
         first = f"regexp_extract({rw.text}, {rx}, 1)"
-        reg = f"filter(transform(array({first}), n -> {param(f"'{name}'", f"'{what}'", 'paging', 'n')}), r -> r.example <> '')"
-        rw.text, rw.params = rw.add(
-            f"regexp_replace({rw.text}, {rx}, '{word} {{{{.{name}}}}}')", rw.with_new(reg)
-        )
+        regs = let(first, "n", f"filter(array({reg(name, what, 'n')}), r -> n <> '')")
+        text = f"regexp_replace({rw.text}, {rx}, '{word} {{{{.{name}}}}}')"
+        rw.step(rw.mentions(word), rw.with_new(text, regs))
 
 
 def order_keys(rw: Rewriter, cfg: CurationConfig) -> None:
     path = rf"[a-zA-Z_][{W}.]*"
     # clean: white space is taken only together with a direction word
     way = rf"(?:{S}+(ASC|DESC){NOT_BEFORE_WORD})?" if cfg.clean else rf"{S}*(ASC|DESC)?"
-    rx = rf"{I}{NOT_AFTER_WORD}ORDER{S}+BY{S}+(?:({path}\([^)]*\)){way}|({path}){way})"
+    rx = rf"{starts('O')}ORDER{S}+BY{S}+(?:({path}\([^)]*\)){way}|({path}){way})"
 
     def make(bit: str) -> str:
         whole, call, call_way, key, key_way = (field(bit, i) for i in range(5))
         kept = f"{call} <> '' AND (contains({call}, '{{{{.') OR {call_way} = '')"
         by = f"if({call} <> '', {call}, {placeholder("'order_col'")})"
         way = f"if(concat({call_way}, {key_way}) = '', '', concat(' ', {placeholder("'order_dir'")}))"
-        regs = ", ".join(
-            (
-                param("'order_col'", "'Column to order by'", "column", key),
-                param("'order_dir'", "'Sort direction (ASC/DESC)'", "direction", f"concat({call_way}, {key_way})"),
-            )
-        )
+        regs = f"{reg('order_col', ORDERED, key)}, {reg('order_dir', DIRECTION, f'concat({call_way}, {key_way})')}"
         return (
             f"named_struct('text', concat(if({kept}, {whole}, concat('ORDER BY ', {by}, {way})), {bit}.gap), "
             f"'regs', filter(array({regs}), r -> r.example <> '' AND NOT ({kept})))"
         )
 
-    cut = rw.cut(rw.marked(rx, _mark("$0", "$1", "$2", "$3", "$4")), make)
-    rw.text, rw.params = rw.add(
-        f"concat({cut}.head, array_join({cut}.items.text, ''))", rw.with_new(f"flatten({cut}.items.regs)")
-    )
+    state = rw.with_new("concat(c.head, array_join(c.items.text, ''))", "flatten(c.items.regs)")
+    marked = rw.marked(rx, _mark("$0", "$1", "$2", "$3", "$4"))
+    rw.step(rw.mentions("ORDER"), rw.if_marked(marked, let(cut("m", make), "c", state)))
 
 
 # --- the whole stage ---------------------------------------------------------
@@ -286,16 +311,20 @@ def extract_templates(
 
     ``passes`` restricts the stage to some of the passes, in the given order.
     """
-    rw = Rewriter(df, f"if({shielded_sql(sql)}, {shield_sql(sql)}, {sql})", f"CAST(array() AS {PARAM_TYPE})")
+    rw = Rewriter(df, sql, f"if({shielded_sql(sql)}, {shield_sql(sql)}, {sql})")
     for step in passes or passes_for(cfg):
         step(rw, cfg)
-    text, params = rw.text, rw.params
+    st = rw.state
+    kinds = " ".join(f"WHEN '{what}' THEN '{kind}'" for what, kind in KINDS.items())
+    params = rw._add(
+        f"transform({st}.names, (n, i) -> {let(f'get({st}.whats, i)', 'w', let(f'get({st}.examples, i)', 'e', _PARAM.format(kinds=kinds)))})"
+    )
     plain = (
         "named_struct('name', p.name, 'type', p.type, "
         f"'description', {unshield_sql('p.description')}, 'kind', p.kind, 'example', {unshield_sql('p.example')})"
     )
-    odd = f"exists({params}, p -> {shielded_sql('p.example')})"
+    odd = shielded_sql(f"concat({st}.text, array_join({st}.examples, ''))")
     return rw.done(
-        f"if({shielded_sql(text)}, {unshield_sql(text)}, {text}) AS statement",
+        f"if({odd}, {unshield_sql(f'{st}.text')}, {st}.text) AS statement",
         f"if({odd}, transform({params}, p -> {plain}), {params}) AS params",
     )
