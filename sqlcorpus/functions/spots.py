@@ -39,6 +39,19 @@ def placeholder(name: str) -> str:
     return f"concat('{{{{.', {name}, '}}}}')"
 
 
+def sealed(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep later filters on computed columns from being pushed below their computation.
+
+    Catalyst moves a filter through a projection by putting the column's expression
+    in its place. Through a chain of projections that would repeat the whole
+    stage over and over. An ``inline`` of one struct is where it stops; filters on
+    the other columns still go through.
+    """
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    fields = ", ".join(f"'{c}', `{c}`" for c in columns)
+    return df.selectExpr(*kept, f"inline(array(named_struct({fields})))")
+
+
 class Rewriter:
     """A DataFrame in the middle of the template stage.
 
@@ -166,8 +179,9 @@ class Rewriter:
         state = self.extended(text, "f.name", "f.what", "f.example")
         return let(regs, "g", let(fresh, "f", state))
 
-    def done(self, *extra: str) -> DataFrame:
-        return self.df.selectExpr(*[f"`{c}`" for c in self.kept], *extra)
+    def done(self, **columns: str) -> DataFrame:
+        """The input columns and the given results, sealed."""
+        return sealed(self.df.selectExpr(*[f"`{c}`" for c in self.kept], *[f"{e} AS {n}" for n, e in columns.items()]), *columns)
 
 
 def reg(name: str, what: str, example: str) -> str:

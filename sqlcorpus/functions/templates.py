@@ -325,6 +325,6 @@ def extract_templates(
     )
     odd = shielded_sql(f"concat({st}.text, array_join({st}.examples, ''))")
     return rw.done(
-        f"if({odd}, {unshield_sql(f'{st}.text')}, {st}.text) AS statement",
-        f"if({odd}, transform({params}, p -> {plain}), {params}) AS params",
+        statement=f"if({odd}, {unshield_sql(f'{st}.text')}, {st}.text)",
+        params=f"if({odd}, transform({params}, p -> {plain}), {params})",
     )

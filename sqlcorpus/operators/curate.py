@@ -14,6 +14,7 @@ from ..functions import labels as L
 from ..functions import quality as Q
 from ..functions import validate as V
 from ..functions.dialects import convert, named_parameters
+from ..functions.spots import sealed
 from ..functions.templates import extract_templates
 
 SUCCESS, EMPTY_SQL, QUALITY_ISSUES = "success", "empty_sql", "quality_issues"
@@ -60,7 +61,8 @@ def with_status(df: DataFrame, cfg: CurationConfig = CurationConfig()) -> DataFr
         .when(F.col("score") > cfg.max_quality_score, F.lit(HIGH_SCORE))
         .otherwise(F.lit(SUCCESS))
     )
-    return df.withColumn("status", status).drop("is_valid")
+    df = df.withColumn("status", status).drop("is_valid")
+    return sealed(df, "score", "breakdown", "reason", "status")
 
 
 def curate(df: DataFrame, cfg: CurationConfig = CurationConfig()) -> DataFrame:

@@ -162,3 +162,32 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("o_custkey"), F.lower("c_mktsegment").alias("db_id")
     )
     return rec.join(owner, "o_custkey", "left").drop("o_custkey").withColumn("source", F.lit("orders"))
+
+
+# JSON lines of every odd kind; <C> is the customer's key.
+ODD_LINES = [
+    '{"question":"How many are there of <C>?","sql":"SELECT a FROM t WHERE b = <C>"}',
+    '{"question":<C>1,"sql":"SELECT a FROM t"}',
+    "[<C>]",
+    "<C>",
+    "not json <C>",
+    '{"question":"first","question":"last <C>","sql":"SELECT a FROM t"}',
+    '{"question":"","prompt":"prompt <C>","sql":null,"query":"SELECT a FROM t LIMIT <C>"}',
+    '{"question":false,"nl":"nl <C>","sql":[],"gold":"SELECT b FROM t"}',
+    '{"question":"tail <C>","sql":"SELECT a FROM t"} tail',
+    '{"question":"object <C>","sql":{"x":1}}',
+    '  {"question":"  padded <C>  ","sql":"\\tSELECT a FROM t\\n","db_id":5,"source":true}  ',
+    '{"question":"unread <C>"}',
+    "",
+    '{"question":0,"instruction":"zero <C>","sql":"SELECT a FROM t"}',
+    '"text <C>"',
+    '{"question":"open <C>", "sql":"SELECT',
+]
+
+
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every odd kind, one per customer."""
+    customers = spread(scan(spark, sf_dir, "customer"))
+    key = F.col("c_custkey")
+    line = _fill(_pick(F.pmod(key, F.lit(len(ODD_LINES))), ODD_LINES), {"<C>": key.cast("string")})
+    return customers.select(key.alias("ord"), line.alias("value"))

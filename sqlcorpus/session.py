@@ -10,6 +10,18 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Settings of the SQL session our plans count on. Inferring constraints from long
+# chains of text rewrites makes the optimiser repeat them exponentially often,
+# and there is nothing to gain: our join keys are never null.
+PLAN_SETTINGS = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the plan settings to a session made elsewhere."""
+    for key, value in PLAN_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(app: str = "sqlcorpus", master: str | None = None, cores: int | None = None) -> SparkSession:
     """A session with adaptive execution; ``master`` is left to spark-submit on a cluster.
@@ -31,7 +43,7 @@ def build_session(app: str = "sqlcorpus", master: str | None = None, cores: int
             b = b.config("spark.driver.memory", "16g").config(
                 "spark.sql.shuffle.partitions", str(cores or os.cpu_count() or 8)
             )
-    return b.getOrCreate()
+    return prepare(b.getOrCreate())
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
