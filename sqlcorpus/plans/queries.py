@@ -13,7 +13,7 @@ from ..functions import quality as Q
 from ..functions import templates as T
 from ..functions.dialects import fan_out
 from ..operators import detect as D
-from ..operators.catalogue import as_export_rows, merge_catalogue
+from ..operators.catalogue import as_export_rows
 from ..operators.curate import catalogue_layout, create_tools, curate, curate_viewer, with_status
 from ..operators.normalize import (
     datasets_clean,
@@ -27,7 +27,7 @@ from ..operators.report import dataset_profile, label_distribution, run_result,
 from ..operators.search import preview, record_preview, search_catalogue, search_datasets, tool_details
 from ..session import spread, work_folder
 from ..sources.corpus import corpus_from_lines
-from ..sources.sinks import catalogue_yaml, settings_of, summary_text
+from ..sources.sinks import catalogue_yaml, load_catalogue, settings_of, summary_text, upsert_catalogue
 from ..streaming.jobs import status_counts, write_counts
 from .corpora import event_lines, event_records, odd_lines, order_records, scan
 
@@ -177,10 +177,10 @@ def batch_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
     """Run 1 in compat mode, run 2 in clean mode over the same records."""
-    first = catalogue_layout(curate(_events(spark, sf)))
-    cfg = CLEAN_CFG.but(key_digits=4)
-    second = catalogue_layout(curate(_events(spark, sf, cfg), cfg))
-    return merge_catalogue(merge_catalogue(None, first, 1), second, 2)
+    path = work_folder(spark, "catalogue")
+    for cfg in (COMPAT_CFG, CLEAN_CFG.but(key_digits=4)):
+        upsert_catalogue(spark, catalogue_layout(curate(_events(spark, sf, cfg), cfg)), path)
+    return load_catalogue(spark, path)
 
 
 def catalogue_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,8 +188,9 @@ def catalogue_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalogue_yaml_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    tools = merge_catalogue(None, catalogue_layout(curate(order_records(spark, sf))), 1)
-    return catalogue_yaml(tools)
+    path = work_folder(spark, "catalogue")
+    upsert_catalogue(spark, catalogue_layout(curate(order_records(spark, sf))), path)
+    return catalogue_yaml(load_catalogue(spark, path))
 
 
 def _viewer_tools(spark: SparkSession, sf: str, cfg: CurationConfig = COMPAT_CFG) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CurationConfig
+from ..functions.spots import sealed
 from ..functions.text import strip
 from ..operators.normalize import KNOWN_FIELDS, QUESTION_FIELDS, SQL_FIELDS
 
@@ -36,7 +37,8 @@ def parse_lines(lines: DataFrame, extra: list[str] | None = None) -> DataFrame:
     parsed = parsed.withColumn("kind", kind)
     one = F.get("__json", F.lit(0))
     kept = [c for c in lines.columns]
-    return parsed.select(*kept, "kind", *[F.when(F.col("kind") == OBJECT, one[f]).alias(f) for f in fields])
+    parsed = parsed.select(*kept, "kind", *[F.when(F.col("kind") == OBJECT, one[f]).alias(f) for f in fields])
+    return sealed(parsed, "kind", *fields)
 
 
 # A known field whose value is not a string, or any key written with an escape.
@@ -78,7 +80,8 @@ def typed_fields(parsed: DataFrame, cfg: CurationConfig) -> DataFrame:
 
     bad = (F.col("kind") == OTHER) | not_text(QUESTION_FIELDS) | not_text(SQL_FIELDS)
     bad = bad if not cfg.clean else F.col("kind") == OTHER
-    return df.withColumn("bad_type", bad).drop("__odd", *[f"__k_{f}" for f in known])
+    df = df.withColumn("bad_type", bad).drop("__odd", *[f"__k_{f}" for f in known])
+    return sealed(df, *known, "bad_type")
 
 
 def corpus_from_lines(

@@ -101,6 +101,10 @@ def upsert_catalogue(spark: SparkSession, tools: DataFrame, path: str, run: int
     run = (have[-1] + 1 if have else 1) if run is None else run
     base = [n for n in have if n < run]
     existing = spark.read.parquet(f"{path}/snapshot={base[-1]}") if base else None
+    # the merge reads the tools several times; written once, they are curated once
+    staged = f"{path}/incoming={run}"
+    tools.write.mode("overwrite").parquet(staged)
+    tools = spark.read.parquet(staged)
     merge_catalogue(existing, tools, run).write.mode("overwrite").parquet(f"{path}/snapshot={run}")
     return run
 
