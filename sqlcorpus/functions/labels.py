@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CurationConfig
-from .text import I, NOT_AFTER_WORD, NOT_BEFORE_WORD, S, has, occurrences, strip, words_if
+from .text import NOT_AFTER_WORD, NOT_BEFORE_WORD, S, has, occurrences, starts, strip, words_if
 
 # First words that name the operation.
 OPERATIONS = ["select", "insert", "update", "delete", "create", "alter", "drop"]
@@ -36,7 +36,8 @@ def operation(sql: Column) -> Column:
 
 
 def _call(u: Column, *names: str) -> Column:
-    return u.rlike(rf"{NOT_AFTER_WORD}(?:{'|'.join(names)}){S}*\(")
+    initials = "".join({n[0] for n in names})
+    return has(u, *names) & u.rlike(rf"(?=[{initials}]){NOT_AFTER_WORD}(?:{'|'.join(names)}){S}*\(")
 
 
 def label_array(sql: Column) -> Column:
@@ -71,15 +72,18 @@ def labels_text(labels: Column) -> Column:
 def tool_name(sql: Column, cfg: CurationConfig = CurationConfig()) -> Column:
     """Operation and the three leading structural features, joined by ``_``."""
 
-    def word(*words: str) -> Column:
-        return sql.rlike(rf"{I}{NOT_AFTER_WORD}(?:{'|'.join(words)}){NOT_BEFORE_WORD}")
+    u = F.upper(sql)
+
+    def word(first: str, rest: str = "") -> Column:
+        # the substring test spares most texts the regular expression
+        return has(u, first) & sql.rlike(rf"{starts(first[0])}{first}{rest}{NOT_BEFORE_WORD}")
 
     def call(*names: str) -> Column:
-        return sql.rlike(rf"{I}{NOT_AFTER_WORD}(?:{'|'.join(names)}){S}*\(")
+        initials = "".join(sorted({n[0] for n in names}))
+        return has(u, *names) & sql.rlike(rf"{starts(initials)}(?:{'|'.join(names)}){S}*\(")
 
     count, total = call("COUNT"), call("SUM")
-    join = word(rf"JOIN")
-    left, right = word(rf"LEFT{S}+JOIN"), word(rf"RIGHT{S}+JOIN")
+    join, left, right = word("JOIN"), word("LEFT", rf"{S}+JOIN"), word("RIGHT", rf"{S}+JOIN")
     if cfg.clean:
         joins = [(join & ~left & ~right, "joined"), (left, "left_joined"), (right & ~left, "right_joined")]
     else:
@@ -89,10 +93,10 @@ def tool_name(sql: Column, cfg: CurationConfig = CurationConfig()) -> Column:
             (count, "count"),
             (~count & total, "sum"),
             (~count & ~total & call("AVG", "MAX", "MIN"), "aggregate"),
-            (word(rf"GROUP{S}+BY"), "grouped"),
+            (word("GROUP", rf"{S}+BY"), "grouped"),
             *joins,
             (word("WHERE"), "filtered"),
-            (word(rf"ORDER{S}+BY"), "sorted"),
+            (word("ORDER", rf"{S}+BY"), "sorted"),
             (word("LIMIT"), "limited"),
             (word("DISTINCT"), "distinct"),
             (word("HAVING"), "having"),
@@ -121,7 +125,7 @@ def slug(text: Column, prefix: str = "tool") -> Column:
 
 
 def structure_sentence(sql: Column) -> Column:
-    """What a SELECT does, in words; empty for other statements."""
+    """What a SELECT does, in words; null for other statements."""
     u = F.upper(sql)
     aggregate = (
         F.when(has(u, "COUNT("), F.lit("counts records"))
@@ -137,11 +141,11 @@ def structure_sentence(sql: Column) -> Column:
         ("LIMIT", "limited to top results"),
     ]
     said = F.concat_ws(" ", F.lit("Retrieves data"), aggregate, *[F.when(has(u, w), F.lit(p)) for w, p in phrases])
-    return F.when(has(u, "SELECT"), said).otherwise(F.lit(""))
+    return F.when(has(u, "SELECT"), said)
 
 
 def parameter_sentence(params: Column) -> Column:
-    """How many parameters of each sort there are; empty without parameters."""
+    """How many parameters of each sort there are; null without parameters."""
 
     def is_table(p: Column) -> Column:
         return F.lower(p["name"]).contains("table")
@@ -150,8 +154,8 @@ def parameter_sentence(params: Column) -> Column:
         return F.lower(p["name"]).contains("col")
 
     def counted(test, words: str) -> Column:
-        n = F.size(F.filter(params, test))
-        return F.when(n > 0, F.concat(F.lit(words + " ("), n.cast("string"), F.lit(")")))
+        n = F.nullif(F.size(F.filter(params, test)), F.lit(0))
+        return F.concat(F.lit(words + " ("), n.cast("string"), F.lit(")"))
 
     said = F.concat_ws(
         ", ",
@@ -162,17 +166,15 @@ def parameter_sentence(params: Column) -> Column:
         ),
         counted(lambda p: (p["type"] == "string") & ~is_table(p) & ~is_column(p), "string pattern matching"),
     )
-    return F.when(said != "", F.concat(F.lit("Parameters: "), said)).otherwise(F.lit(""))
+    return F.concat(F.lit("Parameters: "), F.nullif(said, F.lit("")))
 
 
 def semantic_description(sql: Column, params: Column) -> Column:
     """Structure and parameter sentences, cut at 500 characters."""
-    parts = F.filter(F.array(structure_sentence(sql), parameter_sentence(params)), lambda s: s != "")
-    return F.substring(F.array_join(parts, ". "), 1, DESCRIPTION_LENGTH)
+    said = F.concat_ws(". ", structure_sentence(sql), parameter_sentence(params))
+    return F.substring(said, 1, DESCRIPTION_LENGTH)
 
 
 def with_labels(description: Column, labels: Column) -> Column:
-    text = labels_text(labels)
-    return F.when(text == "", description).otherwise(
-        F.concat(description, F.lit(" [Labels: "), text, F.lit("]"))
-    )
+    text = F.concat(F.lit(" [Labels: "), F.nullif(labels_text(labels), F.lit("")), F.lit("]"))
+    return F.concat(description, F.coalesce(text, F.lit("")))

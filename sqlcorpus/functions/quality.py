@@ -78,8 +78,8 @@ def reusability_score(sql: Column) -> Column:
     """10 points, less for what is still written into the statement."""
     quoted = sql.rlike("'[^']{2,}'") | sql.rlike('"[^"]{2,}"')
     bare = F.regexp_replace(sql, rf"\{{\{{\.[{W}]+\}}\}}", "")
-    number = bare.rlike(rf"{NOT_AFTER_WORD}{D}{{2,}}{NOT_BEFORE_WORD}")
-    table = sql.rlike(rf"{NOT_AFTER_WORD}FROM{S}+[a-zA-Z_][{W}]+(?!{S}*\()") & ~sql.contains("{{.table")
+    number = bare.rlike(rf"(?={D}){NOT_AFTER_WORD}{D}{{2,}}{NOT_BEFORE_WORD}")
+    table = ~sql.contains("{{.table") & sql.rlike(rf"(?=F){NOT_AFTER_WORD}FROM{S}+[a-zA-Z_][{W}]+(?!{S}*\()")
     return F.greatest(10.0 - points(quoted, 3) - points(number, 2) - points(table, 2), F.lit(0.0))
 
 

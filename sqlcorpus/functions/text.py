@@ -41,8 +41,12 @@ _ESC_SELF = "\x0f"
 
 
 def strip(c: Column) -> Column:
-    """Remove all white space at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"\A{S}+|{S}+\z", "")
+    """Remove all white space at both ends (``trim`` removes blanks only).
+
+    A text that starts and ends with a printable ASCII character has none.
+    """
+    bare = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(bare, c).otherwise(F.regexp_replace(c, rf"\A{S}+|{S}+\z", ""))
 
 
 def has(c: Column, *words: str) -> Column:

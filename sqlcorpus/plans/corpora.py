@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spots import sealed
 from ..session import spread
 
 
@@ -116,11 +117,12 @@ def _fill(text: Column, values: dict[str, Column]) -> Column:
 def _compose(df: DataFrame, ord_col: Column, shapes: list[Shape], values: dict[str, Column], *keep: str) -> DataFrame:
     names = list(dict.fromkeys(f for s in shapes for f in s.fields))
     shape = F.pmod(ord_col, F.lit(len(shapes)))
-    return df.select(
+    composed = df.select(
         ord_col.cast("long").alias("ord"),
         *keep,
         *[_fill(_pick(shape, [s.fields.get(f) for s in shapes]), values).alias(f) for f in names],
     )
+    return sealed(composed, *names)  # to the plans above it is a scan
 
 
 def money(c: str) -> Column:
@@ -141,7 +143,7 @@ def event_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     fields = [c for c in rec.columns if c not in ("ord", "ts")]
     broken = F.coalesce(*fields).isNull()
     line = F.when(broken, F.lit(BROKEN_LINE)).otherwise(F.to_json(F.struct(*fields)))
-    return rec.select("ord", "ts", line.alias("value"))
+    return sealed(rec.select("ord", "ts", line.alias("value")), "value")
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
