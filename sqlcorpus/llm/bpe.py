@@ -16,7 +16,7 @@ import functools
 import gc
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 MAX_STATES = 200_000  # transducer states and memo entries kept at a time; more start anew
-DECODE_CHUNK = 8192  # ids a streaming decode takes at a time
+DECODE_CHUNK = 1024  # ids a streaming decode takes at a time
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -32,18 +32,29 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-def merge_pieces(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Plain BPE of a short piece: join the pair of lowest rank, leftmost first."""
+def merge_pieces(piece: bytes, ranks: dict[bytes, int], border: int = 0) -> list[bytes]:
+    """Plain BPE of a short piece: join the pair of lowest rank, leftmost first.
+
+    A merge across byte ``border``, if there is one, ends it at once; nothing is returned then.
+    """
+    get, none = ranks.get, len(ranks) + 256
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = pairs.index(best)
+        if i + 1 == border:
+            return []
+        if i + 1 < border:
+            border -= 1
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
     return parts
 
 
@@ -85,7 +96,8 @@ class Transducer:
         if len(self.pairs) > 8 * MAX_STATES:
             self.pairs.clear()
         parts = [self.tokens[i] for i in (left, right) if i >= 0]
-        ok = self.pairs[left * self.wide + right] = merge_pieces(b"".join(parts), self.ranks) == parts
+        border = len(parts[0]) if left >= 0 else 0
+        ok = self.pairs[left * self.wide + right] = merge_pieces(b"".join(parts), self.ranks, border) == parts
         return ok
 
     def _steps(self, prev: int, live: list, data: bytes) -> tuple[tuple, list]:
@@ -150,7 +162,7 @@ class Transducer:
             raw = piece.encode("utf-8", "surrogatepass")
             out = self.packed.get(raw) or self.walk(raw)
             if len(piece) <= 64:
-                if len(self.memo) > 2 * MAX_STATES:
+                if len(self.memo) > 5 * MAX_STATES:
                     self.memo.clear()
                 self.memo[piece] = out
         return out
@@ -167,6 +179,12 @@ class Utf8Machine:
         self.vocabulary = vocabulary
         self.arcs: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
         self.open = b""
+        self.whole: dict[int, str] = {}  # entries of whole characters, which leave the empty state as it is
+        for i, t in vocabulary.items():
+            try:
+                self.whole[i] = t.decode()
+            except UnicodeDecodeError:
+                pass
 
     @staticmethod
     def _after(state: bytes, byte: int) -> tuple[str, bytes]:
@@ -195,9 +213,13 @@ class Utf8Machine:
         self.arcs.setdefault(state, {})[token] = arc
         return arc
 
-    def feed(self, ids: Iterable[int]) -> str:
+    def feed(self, ids: Sequence[int]) -> str:
         """The text that these ids complete."""
         state, out = self.open, []
+        if not state:
+            texts = list(map(self.whole.get, ids))
+            if None not in texts:
+                return "".join(texts)
         arcs = self.arcs.setdefault(state, {})
         for i in ids:
             arc = arcs.get(i) or self._arc(state, i)
@@ -239,6 +261,7 @@ def encoder(data: bytes, pattern: str):
     return run
 
 
+@functools.lru_cache(maxsize=2)
 def decoder(data: bytes):
     """ids -> text, a chunk of ids at a time."""
     machine = Utf8Machine({i: t for t, i in read_ranks(data).items()})
