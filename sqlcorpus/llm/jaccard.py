@@ -34,6 +34,7 @@ from .common import SPACED, stored, words_of
 from .fingerprint import mixed
 
 SHINGLE = 5
+BITS = 56  # of a shingle's hash; two sets of 10,000 shingles mistake one for another once in a billion pairs
 CHUNK = 1_000_000  # shingles that are sorted together in a task
 KNOWN_WORDS = 500_000
 
@@ -49,7 +50,7 @@ class _Hashes(dict):
 
 
 def shingle_set(text: str | None, known: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; with fewer words, of all of them as one."""
+    """Sorted distinct hashes of the shingles; with fewer words, of all of them as one."""
     words = words_of(text, SPACED)
     if not words:
         return np.zeros(0, np.uint64)
@@ -58,24 +59,32 @@ def shingle_set(text: str | None, known: dict) -> np.ndarray:
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         out = out * _K + h[k : k + len(out)]
-    return np.unique(mixed(out))
+    return np.unique(mixed(out) >> np.uint64(64 - BITS))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: first the lowest bytes of all, last the highest, which are mostly equal."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Ascending numbers as differences, byte by byte, so that their empty high bytes compress away."""
-    return np.diff(keys, prepend=np.zeros(1, keys.dtype)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending numbers as differences, whose high bytes compress away."""
+    return planes(np.diff(keys, prepend=np.zeros(1, keys.dtype)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(8, -1).T.copy()
-    return np.cumsum(flat.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
 
 def packets(docs: DataFrame, buckets: int) -> DataFrame:
     """A row per chunk and bucket of hashes, and one row per chunk with its documents."""
     frame = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = _packet_schema(frame.schema["doc_id"].dataType)
-    cuts = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    cuts = (np.arange(1, buckets, dtype=object) * (1 << BITS) // buckets).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, task, chunk_no, doc_no = _Hashes(), TaskContext.get().partitionId(), 0, 0
@@ -98,7 +107,7 @@ def packets(docs: DataFrame, buckets: int) -> DataFrame:
                 pa.array([-1 - chunk % buckets, *(k for k, _, _ in own)], pa.int32()),
                 pa.array([chunk] * (n + 1), pa.int64()),
                 pa.array([None, *(packed(keys[a:b]) for _, a, b in own)], pa.binary()),
-                pa.array([None, *(owner[a:b].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for _, a, b in own)], pa.binary()),
+                pa.array([None, *(planes(owner[a:b].astype(np.uint32)) for _, a, b in own)], pa.binary()),
                 *(pa.array([list(c), *[None] * n], pa.list_(t)) for c, t in zip(doc_columns, [pa.int64(), kind, pa.int64()], strict=True)),
             ]
             sets, heads, held, chunk_no = [], [], 0, chunk_no + 1
@@ -132,7 +141,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
         if table.column("bucket")[0].as_py() < 0:
             return table.append_column("lists", pa.nulls(table.num_rows, pa.binary()))
         parts = [unpacked(k.as_py()) for k in table.column("keys")]
-        owners = [np.frombuffer(o.as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for o in table.column("owners")]
+        owners = [from_planes(o.as_py(), np.uint32) for o in table.column("owners")]
         keys, which = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         owner = np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
@@ -141,13 +150,14 @@ def shared_only(rows: DataFrame) -> DataFrame:
         length = np.bincount(run_no)[run_no]
         kept = length > 1
         order, length = order[kept], length[kept]
-        by_part = np.argsort(which[order], kind="stable")
+        by_part = np.argsort(which[order], kind="stable")  # each part stays in ascending order
         order, length = order[by_part], length[by_part].astype(np.uint32)
         cut = np.searchsorted(which[order], np.arange(len(parts) + 1))
         keys, owner, out = keys[order], owner[order], {n: [] for n in ("keys", "owners", "lists")}
         for a, b in zip(cut, cut[1:], strict=False):
-            for n, x in (("keys", keys), ("owners", owner), ("lists", length)):
-                out[n].append(x[a:b].tobytes())
+            out["keys"].append(packed(keys[a:b]))
+            out["owners"].append(planes(owner[a:b]))
+            out["lists"].append(planes(length[a:b]))
         columns = [pa.array(out[c], pa.binary()) if c in out else table.column(c) for c in table.column_names]
         return pa.table([*columns, pa.array(out["lists"], pa.binary())], names=[*table.column_names, "lists"])
 
@@ -165,9 +175,10 @@ def assembled(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         head = next(i for i in range(table.num_rows) if table.column("ids")[i].is_valid)
         ids, doc_ids, sizes = (table.column(c)[head].values for c in ("ids", "doc_ids", "sizes"))
-        blobs = {c: b"".join(x.as_py() for x in table.column(c) if x.is_valid) for c in ("keys", "owners", "lists")}
-        keys = np.frombuffer(blobs["keys"], np.uint64)
-        owner, length = (np.frombuffer(blobs[c], np.uint32) for c in ("owners", "lists"))
+        rows = [i for i in range(table.num_rows) if i != head]
+        none = [np.zeros(0, np.uint64)]
+        keys = np.concatenate([unpacked(table.column("keys")[i].as_py()) for i in rows] or none)
+        owner, length = (np.concatenate([from_planes(table.column(c)[i].as_py(), np.uint32) for i in rows] or none) for c in ("owners", "lists"))
         order = np.lexsort((keys, length, owner))
         keys, cut = keys[order], np.searchsorted(owner[order], np.arange(len(ids) + 1))
         n = sizes.to_numpy()
