@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import SPACED, words_of
 
 SAMPLES = 64
+RANGES_A_TASK = 6
 CACHED_TERMS = 60_000  # terms whose draws a task keeps at a time
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # fixed values of a public mixing function
@@ -146,7 +147,8 @@ def beside_next(docs: DataFrame) -> DataFrame:
     text; after the last document the first one follows.
     """
     frame = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES_A_TASK * tasks  # several ranges meet in a task, so that tasks come out even
     cuts = frame.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] if n > 1 else [0.5], 10_000).alias("c")).first()["c"]
     part = _bucket(sorted(set(cuts or [])))
     heads = frame.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # a row for each range
@@ -157,7 +159,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("host").alias("part"), F.lit(True).alias("guest"))
     both = placed.select("doc_id", "text", F.inline(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    dealt = both.repartition(n, "part")
+    dealt = both.repartition(tasks, "part")
     return dealt.sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
 
