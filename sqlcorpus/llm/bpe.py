@@ -93,7 +93,7 @@ class Transducer:
 
     def _follows(self, left: int, right: int) -> bool:
         """Whether ``right``, an entry that merges can reach, can stand after ``left`` (-1: the start)."""
-        if len(self.pairs) > 8 * MAX_STATES:
+        if len(self.pairs) > 4 * MAX_STATES:
             self.pairs.clear()
         parts = [self.tokens[i] for i in (left, right) if i >= 0]
         border = len(parts[0]) if left >= 0 else 0
@@ -162,7 +162,7 @@ class Transducer:
             raw = piece.encode("utf-8", "surrogatepass")
             out = self.packed.get(raw) or self.walk(raw)
             if len(piece) <= 64:
-                if len(self.memo) > 5 * MAX_STATES:
+                if len(self.memo) > 3 * MAX_STATES:
                     self.memo.clear()
                 self.memo[piece] = out
         return out
