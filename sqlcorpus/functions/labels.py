@@ -116,6 +116,11 @@ def tool_key(name: Column, sql: Column, question: Column, digits: int) -> Column
     return F.concat(name, F.lit("_"), short_hash(F.concat(sql, question), digits))
 
 
+def tool_id(name: Column, sql: Column, question: Column) -> Column:
+    """What a tool is: the SHA-1 of its name, statement and question, which nothing shortens."""
+    return F.sha1(F.concat_ws("\0", name, sql, question).cast("binary"))
+
+
 def slug(text: Column, prefix: str = "tool") -> Column:
     """An identifier of at most 60 lower-case letters, digits and ``_`` that starts with a letter."""
     s = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+", "_"), F.lit("_"))

@@ -1,4 +1,4 @@
-"""The catalogue: one tool per key, the last value wins, the first position stays.
+"""The catalogue: one tool per identity, the last value wins, the first position stays.
 
 A catalogue row carries ``first_run``/``first_ord`` (its position) and ``last_run``.
 Runs are merged into a new snapshot; the old one stays readable, and a snapshot is
@@ -14,38 +14,50 @@ POSITION = ["first_run", "first_ord"]
 _BOOKKEEPING = [*POSITION, "last_run"]
 
 
-def last_per_key(tools: DataFrame, key: str = "tool_key") -> DataFrame:
+def last_per_key(tools: DataFrame, key: str = "tool_id") -> DataFrame:
     """The last row (by ``ord``) of every key, with the key's first ``ord`` as ``first_ord``.
 
-    The aggregate sees two numbers per row and combines them on the map side;
-    whole rows are then joined on (key, ord), which is unique, so a key that
-    holds a third of all rows still spreads over all tasks.
+    One aggregate, combined on the map side, so a key that holds a third of all rows is a few
+    rows in the shuffle. Rows of one key and one ``ord`` are told apart by a hash, so there is
+    one row per key whatever the order is worth.
     """
-    ends = tools.groupBy(key).agg(F.max("ord").alias("ord"), F.min("ord").alias("first_ord"))
-    return tools.join(ends, [key, "ord"])
+    values = [c for c in tools.columns if c not in (key, "ord")]
+    last = F.max_by(F.struct("ord", *values), F.struct("ord", F.xxhash64(*[F.to_json(F.struct(c)) for c in values])))
+    ends = tools.groupBy(key).agg(last.alias("last"), F.min("ord").alias("first_ord"))
+    return ends.select(key, "last.*", "first_ord")
 
 
 def merge_catalogue(existing: DataFrame | None, tools: DataFrame, run: int) -> DataFrame:
-    """Existing catalogue with the tools of a run put in (their columns must agree)."""
-    new = last_per_key(tools).drop("ord").withColumn("last_run", F.lit(run))
+    """Existing catalogue with the tools of a run put in (their columns must agree).
+
+    A tool is the same if its ``tool_id`` is (``tool_key`` where there is no such column).
+    """
+    key = "tool_id" if "tool_id" in tools.columns else "tool_key"
+    new = last_per_key(tools, key).drop("ord").withColumn("last_run", F.lit(run)).withColumn("first_run", F.lit(run))
+    new = new.select(*_columns(new))
     if existing is None:
-        return new.withColumn("first_run", F.lit(run)).select(*_columns(new))
-    old = existing.select("tool_key", *[F.col(c).alias(f"old_{c}") for c in POSITION])
-    known = F.col("old_first_run").isNotNull()
-    placed = new.join(old, "tool_key", "left").withColumns(
-        {
-            "first_run": F.when(known, F.col("old_first_run")).otherwise(F.lit(run)),
-            "first_ord": F.when(known, F.col("old_first_ord")).otherwise(F.col("first_ord")),
-        }
+        return new
+    both = existing.select(*_columns(new)).unionByName(new)
+    values = [c for c in both.columns if c not in (key, *_BOOKKEEPING)]
+    merged = both.groupBy(key).agg(
+        F.max_by(F.struct(*values), "last_run").alias("v"), F.min(F.struct(*POSITION)).alias("p"), F.max("last_run").alias("last_run")
     )
-    kept = existing.join(new.select("tool_key"), "tool_key", "left_anti")
-    return placed.select(*_columns(new)).unionByName(kept.select(*_columns(new)))
+    return merged.select(key, "v.*", "p.*", "last_run").select(*_columns(new))
 
 
 def _columns(new: DataFrame) -> list[str]:
     return [c for c in new.columns if c not in _BOOKKEEPING] + _BOOKKEEPING
 
 
+def display_keys(catalogue: DataFrame) -> DataFrame:
+    """The catalogue with ``tool_key`` lengthened by part of the identity where several tools share it."""
+    if "tool_id" not in catalogue.columns:
+        return catalogue
+    shared = catalogue.groupBy("tool_key").agg(F.count("*").alias("__same")).filter("__same > 1")
+    longer = F.when(F.col("__same").isNotNull(), F.concat("tool_key", F.lit("_"), F.substring("tool_id", 1, 16))).otherwise(F.col("tool_key"))
+    return catalogue.join(shared, "tool_key", "left").withColumn("tool_key", longer).drop("__same")
+
+
 def in_order(catalogue: DataFrame) -> DataFrame:
     """Rows in catalogue order (a range-partitioned sort)."""
     return catalogue.orderBy(*POSITION)

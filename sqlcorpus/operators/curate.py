@@ -74,6 +74,7 @@ def curate(df: DataFrame, cfg: CurationConfig = CurationConfig()) -> DataFrame:
     return df.withColumns(
         {
             "tool_key": L.tool_key(F.col("tool_name"), sql, q, cfg.digits),
+            "tool_id": L.tool_id(F.col("tool_name"), sql, q),
             "description": L.with_labels(L.semantic_description(st, F.col("params")), F.col("labels")),
         }
     )
@@ -85,7 +86,7 @@ def plain_params(params: Column) -> Column:
 
 
 def catalogue_layout(curated: DataFrame, cfg: CurationConfig = CurationConfig()) -> DataFrame:
-    """Accepted rows as catalogue tools (order kept in ``ord``)."""
+    """Accepted rows as catalogue tools (order kept in ``ord``); ``tool_id`` tells them apart, ``tool_key`` shows them."""
     return curated.filter(F.col("status") == SUCCESS).select(
         "tool_key",
         "ord",
@@ -94,6 +95,7 @@ def catalogue_layout(curated: DataFrame, cfg: CurationConfig = CurationConfig())
         "statement",
         "description",
         plain_params(F.col("params")).alias("templateParameters"),
+        "tool_id",
     )
 
 

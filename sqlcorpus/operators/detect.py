@@ -123,10 +123,10 @@ def field_table(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
 
 def best_fields(table: DataFrame) -> DataFrame:
-    """One row: the best field for each role, null if every score is 0; ties go to the first."""
+    """One row: the field of the best mean score for each role, null if every score is 0; ties go to the first."""
 
     def best(score: str) -> Column:
-        top = F.max_by("field", F.struct(F.col(score), -F.col("pos")))
+        top = F.max_by("field", F.struct(F.col(score) / F.col("records"), -F.col("pos")))
         return F.when(F.max(score) > 0, top)
 
     return table.agg(best("sql_score").alias("sql_field"), best("question_score").alias("question_field"))

@@ -81,12 +81,11 @@ def normalize_with_profile(df: DataFrame, profile: dict[str, list[str]]) -> Data
 
 
 def normalize_detected(df: DataFrame, question_field: str | None, sql_field: str | None) -> DataFrame:
-    """Normalise by detected fields, or by the usual names where nothing was detected."""
+    """Normalise by detected fields; a record that lacks one, or has null in it, is read by the usual names."""
 
     def chosen(field: str | None, names: list[str]) -> Column:
-        if field and field in df.columns:
-            return F.coalesce(F.col(field).cast("string"), F.lit(""))
-        return first_of(df, names)
+        usual = first_of(df, names)
+        return F.coalesce(F.col(field).cast("string"), usual) if field and field in df.columns else usual
 
     return _imported(
         df,

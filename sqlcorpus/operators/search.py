@@ -33,12 +33,14 @@ def preview(viewer: DataFrame) -> DataFrame:
 
 
 def search_catalogue(viewer: DataFrame, text: str) -> DataFrame:
-    """Preview rows in which any shown column contains the text, whatever the case."""
-    rows = preview(viewer)
+    """Preview rows of the tools whose key, description, statement or labels contain the text, whatever the case.
+
+    The whole columns are searched; the preview alone is cut.
+    """
     hit = F.lit(False)
-    for c in rows.columns:
-        hit = hit | F.lower(c).contains(text.lower())
-    return rows.filter(hit)
+    for c in ("tool_key", "description", "sql", "labels"):
+        hit = hit | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return preview(viewer.filter(hit))
 
 
 def record_preview(records: DataFrame, columns: list[str] | None = None) -> DataFrame:

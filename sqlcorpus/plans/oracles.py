@@ -682,17 +682,17 @@ def field_table_sql(where: str = "TRUE") -> str:
 
 def best_sql(cte: str) -> str:
     return (
-        f"(SELECT field FROM {cte} WHERE sql_score > 0 ORDER BY sql_score DESC, pos LIMIT 1) AS sql_field, "
-        f"(SELECT field FROM {cte} WHERE question_score > 0 ORDER BY question_score DESC, pos LIMIT 1) AS question_field"
+        f"(SELECT field FROM {cte} WHERE sql_score > 0 ORDER BY sql_score / records DESC, pos LIMIT 1) AS sql_field, "
+        f"(SELECT field FROM {cte} WHERE question_score > 0 ORDER BY question_score / records DESC, pos LIMIT 1) AS question_field"
     )
 
 
 def detection_sql() -> str:
     s, qn = field_points("field", "value")
     return (
-        f"WITH {EV_BASE}, {raw_fields_cte()}, {field_table_sql()}, f1 AS (SELECT field, pos, {s} AS sql_score, {qn} AS question_score FROM cell WHERE ord = 0), "
+        f"WITH {EV_BASE}, {raw_fields_cte()}, {field_table_sql()}, f1 AS (SELECT field, pos, 1 AS records, {s} AS sql_score, {qn} AS question_score FROM cell WHERE ord = 0), "
         "talk AS (SELECT 'role' AS field, 0 AS pos, role AS value FROM conversations UNION ALL SELECT 'text', 1, text FROM conversations), "
-        f"f2 AS (SELECT field, pos, sum({s}) AS sql_score, sum({qn}) AS question_score FROM talk GROUP BY field, pos) "
+        f"f2 AS (SELECT field, pos, count(*) AS records, sum({s}) AS sql_score, sum({qn}) AS question_score FROM talk GROUP BY field, pos) "
         f"SELECT 'events' AS corpus, {best_sql('ft')} UNION ALL SELECT 'first_event', {best_sql('f1')} UNION ALL SELECT 'conversations', {best_sql('f2')}"
     )
 
@@ -759,23 +759,32 @@ def yaml_sql() -> str:
     )
 
 
-def merge_sql() -> str:
+def both_runs_sql() -> str:
     def run(n: int, clean: bool) -> str:
         st = "st_clean" if clean else "st"
         cte = statused("ev", clean)
         return (
             f"(WITH {cte}, nm AS (SELECT *, {name_sql(st, clean)} AS tool_name FROM vs WHERE status = 'success') "
-            f"SELECT {n} AS run, ord, {key_sql(4)} AS tool_key, {st} AS statement FROM nm)"
+            f"SELECT {n} AS run, ord, {key_sql(4)} AS tool_key, {st} AS statement, tool_name, sql, question FROM nm)"
         )
 
+    return f"{EV_BASE}, al AS ({run(1, False)} UNION ALL {run(2, True)})"
+
+
+def merge_sql() -> str:
+    one = "PARTITION BY tool_name, sql, question ORDER BY"  # a tool is its name, statement and question, unhashed
     return (
-        f"WITH {EV_BASE}, al AS ({run(1, False)} UNION ALL {run(2, True)}), "
-        "w AS (SELECT *, row_number() OVER (PARTITION BY tool_key ORDER BY run DESC, ord DESC) AS last, "
-        "row_number() OVER (PARTITION BY tool_key ORDER BY run, ord) AS first FROM al) "
-        "SELECT a.tool_key, a.statement, b.run AS first_run, b.ord AS first_ord, a.run AS last_run FROM w a JOIN w b ON a.tool_key = b.tool_key AND b.first = 1 WHERE a.last = 1"
+        f"WITH {both_runs_sql()}, "
+        f"w AS (SELECT *, row_number() OVER ({one} run DESC, ord DESC) AS last, row_number() OVER ({one} run, ord) AS first FROM al) "
+        "SELECT a.tool_key, a.statement, b.run AS first_run, b.ord AS first_ord, a.run AS last_run FROM w a "
+        "JOIN w b ON a.tool_name = b.tool_name AND a.sql = b.sql AND a.question = b.question AND b.first = 1 WHERE a.last = 1"
     )
 
 
+def identity_sql() -> str:
+    return f"WITH {both_runs_sql()}, t AS (SELECT DISTINCT tool_name, sql, question FROM al) SELECT count(*) AS tools, count(*) AS identities FROM t"
+
+
 def details_sql() -> str:
     lines = _or({
         k: "\n".join(f"  - {n} (string): {w} (e.g., {x})" for n, w, x in p) or "No parameters" for k, (_, p) in ORDERS.items()
@@ -852,9 +861,10 @@ def oracle_sql() -> dict[str, str]:
         "dataset_profile_orders": profile_sql(OR_BASE, "sql"),
         "batch_split": E + f"SELECT ord, CASE WHEN row_number() OVER (ORDER BY ord) <= {BATCH} THEN 'batch' ELSE 'remaining' END AS part FROM ev",
         "catalogue_merge": merge_sql(),
+        "catalogue_identity": identity_sql(),
         "catalogue_yaml": yaml_sql(),
-        "catalogue_search": O + f", {viewer_cte('st', 'names')}, pv AS (SELECT {_PREVIEW} FROM vw) SELECT * FROM pv WHERE " + " OR ".join(
-            f"contains(lower({c}), 'group')" for c in ["tool_key", "description", "sql", "parameters", "quality_score", "labels"]),
+        "catalogue_search": O + f", {viewer_cte('st', 'names')} SELECT {_PREVIEW} FROM vw WHERE " + " OR ".join(
+            f"contains(lower({c}), 'group')" for c in ["vw.tool_key", "vw.question", "vw.st", "vw.labels"]),
         "catalogue_preview": O + f", {viewer_cte('st', 'names')} SELECT {_PREVIEW} FROM vw",
         "tool_details": details_sql(),
         "dataset_preview": f"SELECT doc_id AS ord, {cutoff('text', 100)} AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents",
@@ -874,7 +884,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "profile_normalize": chosen_sql(["question"], ["query"], ["db_id"]),
         "profile_normalize_renamed": O + "SELECT ord, question, sql, db_id, 'huggingface' AS source FROM od",
-        "detected_normalize": chosen_sql(["question"], ["sql"], ["db_id", "db", "schema"]),
+        # prompt has the best mean question score; records without it are read by the usual names
+        "detected_normalize": chosen_sql(["prompt", "question", "query", "nl", "instruction", "text"], _SF, ["db_id", "db", "schema"]),
         "fallback_normalize": chosen_sql(["question", "query", "nl", "instruction", "text"], _SF, ["db_id", "db", "schema"]),
         "dataset_ids": (
             "WITH b AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'org' || page_id % 7 || '/set-' || page_id WHEN 1 THEN 'org_' || page_id || '/re.po' "

@@ -140,7 +140,7 @@ def statistics(cfg: CurationConfig) -> Query:
 
 def curate_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     tools = catalogue_layout(curate(order_records(spark, sf)))
-    return tools.withColumn("templateParameters", _pairs(F.col("templateParameters")))
+    return tools.withColumn("templateParameters", _pairs(F.col("templateParameters"))).drop("tool_id")
 
 
 def created_tools(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,6 +187,11 @@ def catalogue_merge(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf).select("tool_key", "statement", "first_run", "first_ord", "last_run")
 
 
+def catalogue_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """How many tools two merged runs leave; the oracle counts names, statements and questions unhashed."""
+    return _merged(spark, sf).agg(F.count("*").alias("tools"), F.count_distinct("tool_id").alias("identities"))
+
+
 def catalogue_yaml_blocks(spark: SparkSession, sf: str) -> DataFrame:
     path = work_folder(spark, "catalogue")
     upsert_catalogue(spark, catalogue_layout(curate(order_records(spark, sf))), path)
@@ -378,6 +383,7 @@ QUERIES: dict[str, Query] = {
     "dataset_profile_orders": profile_orders,
     "batch_split": batch_split,
     "catalogue_merge": catalogue_merge,
+    "catalogue_identity": catalogue_identity,
     "catalogue_yaml": catalogue_yaml_blocks,
     "catalogue_search": catalogue_search,
     "catalogue_preview": catalogue_preview,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CurationConfig, dialect_of
-from ..operators.catalogue import as_export_rows, in_order, merge_catalogue
+from ..operators.catalogue import as_export_rows, display_keys, in_order, merge_catalogue
 
 # The layout of a text summary; (line, setting, default).
 SUMMARY = """Processing Results:
@@ -90,22 +90,38 @@ def load_catalogue(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/snapshot={have[-1]}") if have else None
 
 
-def upsert_catalogue(spark: SparkSession, tools: DataFrame, path: str, run: int | None = None) -> int:
+def _holds(spark: SparkSession, path: str, batch: str) -> int | None:
+    """The complete snapshot that a batch was merged into, if there is one."""
+    fs, _, jvm = _fs(spark, path)
+    for n in reversed(snapshots(spark, path)):
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={n}/_batch-{batch}")):
+            return n
+    return None
+
+
+def upsert_catalogue(spark: SparkSession, tools: DataFrame, path: str, run: int | None = None, batch: str | None = None) -> int:
     """Merge a run's tools into a catalogue folder as a new snapshot; returns its number.
 
-    The current snapshot is only read. A snapshot counts once its ``_SUCCESS`` file
-    is there, so a failed run leaves the catalogue as it was. Running the same
-    ``run`` number again writes the same snapshot again.
+    The current snapshot is only read. A snapshot counts once its ``_SUCCESS`` file is there, so
+    a failed run leaves the catalogue as it was. Without a ``run`` the number follows the newest
+    snapshot; a ``run`` of its own may repeat the newest snapshot, never one with successors.
+    ``batch`` names the micro-batch: its mark is in the snapshot before the rows are, and a batch
+    that some snapshot holds already changes nothing.
     """
+    if batch is not None and (held := _holds(spark, path, batch)) is not None:
+        return held
     have = snapshots(spark, path)
     run = (have[-1] + 1 if have else 1) if run is None else run
+    if have and run < have[-1]:
+        raise ValueError(f"snapshot {run} would come before snapshot {have[-1]}, which is there")
     base = [n for n in have if n < run]
     existing = spark.read.parquet(f"{path}/snapshot={base[-1]}") if base else None
-    # the merge reads the tools several times; written once, they are curated once
-    staged = f"{path}/incoming={run}"
-    tools.write.mode("overwrite").parquet(staged)
-    tools = spark.read.parquet(staged)
-    merge_catalogue(existing, tools, run).write.mode("overwrite").parquet(f"{path}/snapshot={run}")
+    target = f"{path}/snapshot={run}"
+    fs, _, jvm = _fs(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(target), True)  # of a failed run, or of the run that is repeated
+    if batch is not None:
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{target}/_batch-{batch}"), True).close()
+    merge_catalogue(existing, tools, run).write.mode("append").parquet(target)
     return run
 
 
@@ -143,7 +159,7 @@ def catalogue_yaml(catalogue: DataFrame) -> DataFrame:
         fields += [("quality_score", F.col("quality_score").cast("string"))]
         fields += [(n, _json_scalar(F.col(n))) for n in ("labels", "db_id", "source") if n in names]
     block = yaml_block(fields, params, F.col(params))
-    return in_order(catalogue).select(block.alias("value"))
+    return in_order(display_keys(catalogue)).select(block.alias("value"))
 
 
 def write_catalogue_yaml(catalogue: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -165,8 +181,8 @@ def write_catalogue_yaml(catalogue: DataFrame, path: str, mode: str = "errorifex
 
 def write_catalogue_json(catalogue: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One tool per line, in catalogue order; numbers that keep the order are left out."""
-    rows = in_order(catalogue)
-    rows.drop("first_run", "first_ord", "last_run").write.mode(mode).option("ignoreNullFields", "false").json(path)
+    rows = in_order(display_keys(catalogue))
+    rows.drop("tool_id", "first_run", "first_ord", "last_run").write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_catalogue_csv(viewer: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,6 +6,8 @@ only the sinks differ. Checkpoints make a restarted query go on where it stopped
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,14 +28,16 @@ def curate_stream(
 ) -> StreamingQuery:
     """Stream JSON lines (``ord``, ``value``) into a catalogue folder.
 
-    Each micro-batch becomes the snapshot of its own number, built on the one
-    before; a batch that is run again after a failure writes the same snapshot.
+    Each micro-batch becomes the next snapshot, whatever the folder holds already. It is marked
+    with the stream's checkpoint and its number, so a batch that is run again after a failure
+    adds nothing.
     """
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         records, _ = corpus_from_lines(batch, cfg)
         tools = catalogue_layout(curate(normalize(records), cfg), cfg)
-        upsert_catalogue(batch.sparkSession, tools, catalogue, run=batch_id + 1)
+        upsert_catalogue(batch.sparkSession, tools, catalogue, batch=f"{stream}-{batch_id}")
 
     return (
         lines.writeStream.foreachBatch(merge)

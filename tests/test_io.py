@@ -4,6 +4,7 @@ import csv
 import glob
 import json
 
+import pytest
 import yaml
 from pyspark.sql import functions as F
 
@@ -135,3 +136,40 @@ def test_result_does_not_depend_on_partitions(spark, tmp_path):
     few = curate(normalize(records.coalesce(1)), cfg).orderBy("ord").collect()
     many = curate(normalize(records.repartition(7)), cfg).orderBy("ord").collect()
     assert few == many
+
+
+def test_equal_positions_give_one_row_per_key(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "x"), ("b", 1, "z")]
+    got = merge_catalogue(None, spark.createDataFrame(rows, "tool_key string, ord long, statement string"), 1).collect()
+    assert sorted(r.tool_key for r in got) == ["a", "b"]
+
+
+def test_stream_goes_on_with_an_existing_catalogue(spark, tmp_path):
+    records, _ = read_corpus(spark, corpus_files(tmp_path, copies=3))
+    tools, store = catalogue_layout(curate(normalize(records))), str(tmp_path / "cat")
+    for _ in range(3):
+        sinks.upsert_catalogue(spark, tools.limit(1), store)
+    assert sinks.upsert_catalogue(spark, tools, store, batch="s-0") == 4
+    want = {r.tool_id for r in tools.collect()}
+    assert {r.tool_id for r in sinks.load_catalogue(spark, store).collect()} == want
+    assert sinks.upsert_catalogue(spark, tools, store, batch="s-1") == 5
+    assert sinks.upsert_catalogue(spark, tools.limit(0), store, batch="s-0") == 4  # the repeated batch adds nothing
+    assert sinks.snapshots(spark, store) == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError):
+        sinks.upsert_catalogue(spark, tools, store, run=2)
+
+
+def test_names_that_clash_are_lengthened(spark):
+    from sqlcorpus.operators.catalogue import display_keys
+
+    rows = [("k", "aa" * 20), ("k", "bb" * 20), ("m", "cc" * 20)]
+    got = {r.tool_key for r in display_keys(spark.createDataFrame(rows, "tool_key string, tool_id string")).collect()}
+    assert got == {"k_" + "a" * 16, "k_" + "b" * 16, "m"}
+
+
+def test_detected_fields_fall_back_record_by_record(spark):
+    from sqlcorpus.operators.normalize import normalize_detected
+
+    rows = [(1, "q1", None, "SELECT 1"), (2, None, "q2", "SELECT 2")]
+    df = spark.createDataFrame(rows, "ord long, question string, nl string, sql string")
+    assert [r.question for r in normalize_detected(df, "question", "sql").orderBy("ord").collect()] == ["q1", "q2"]

@@ -10,7 +10,10 @@ sys.path.insert(0, os.path.dirname(__file__))
 import __spark_entry__ as entry
 from oracle import compare, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from sqlcorpus.plans.oracles import oracle_sql
+from sqlcorpus.plans.queries import QUERIES as OWN
+
+QUERIES, ORACLES = {name: entry.queries()[name] for name in OWN}, oracle_sql()
 
 
 @pytest.fixture(scope="module")
