@@ -159,47 +159,3 @@ def read_dump(spark: SparkSession, path: str, fmt: str = "parquet", split: str |
 def read_dump_stream(spark: SparkSession, path: str, schema, fmt: str = "json", **options) -> DataFrame:
     """The same as a stream of files."""
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
-
-
-CATALOGUE_PARAM = "array<struct<name:string,type:string,description:string>>"
-
-
-def read_catalogue_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """Tools of YAML catalogue files, in file order; a file that is no mapping gives none.
-
-    YAML has no splittable form, so each file is parsed as a whole, by the tasks that
-    hold it. This is an import path; the working store is Parquet.
-    """
-    schema = (
-        "tool_key string, first_run int, first_ord long, kind string, source string, statement string, "
-        f"description string, templateParameters {CATALOGUE_PARAM}, sql string, "
-        f"parameters {CATALOGUE_PARAM}, quality_score double, labels string, db_id string"
-    )
-    texts = ["kind", "source", "statement", "description", "sql", "labels", "db_id"]
-
-    def parse(batches):
-        import pandas as pd
-        import yaml
-
-        for batch in batches:
-            rows = []
-            for text in batch["value"]:
-                data = yaml.safe_load(text)
-                tools = data.get("tools") if isinstance(data, dict) else None
-                for i, (key, tool) in enumerate((tools or {}).items()):
-                    row = {"tool_key": str(key), "first_run": 0, "first_ord": i}
-                    row |= {t: None if tool.get(t) is None else str(tool[t]) for t in texts}
-                    for p in ("templateParameters", "parameters"):
-                        row[p] = [
-                            {k: str(q.get(k, "")) for k in ("name", "type", "description")} for q in tool.get(p) or []
-                        ]
-                    score = tool.get("quality_score")
-                    row["quality_score"] = None if score is None else float(score)
-                    rows.append(row)
-            if rows:
-                yield pd.DataFrame(rows)[
-                    ["tool_key", "first_run", "first_ord", "kind", "source", "statement", "description",
-                     "templateParameters", "sql", "parameters", "quality_score", "labels", "db_id"]
-                ]
-
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, schema)

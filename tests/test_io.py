@@ -14,7 +14,7 @@ from sqlcorpus.operators.curate import catalogue_layout, curate, curate_viewer
 from sqlcorpus.operators.normalize import normalize, profile_for
 from sqlcorpus.operators.numbering import number_rows, number_tools, split_batch
 from sqlcorpus.sources import sinks
-from sqlcorpus.sources.corpus import read_catalogue_yaml, read_corpus, read_dump, read_lines
+from sqlcorpus.sources.corpus import read_corpus, read_dump, read_lines
 from sqlcorpus.streaming.jobs import curate_stream
 
 LINES = [
@@ -64,12 +64,6 @@ def test_catalogue_round_trip(spark, tmp_path):
     assert first["statement"] == in_order(cat).first().statement
     assert first["templateParameters"][0] == {"name": "open", "type": "string", "description": "String value (e.g., open)"}
 
-    (tmp_path / "one.yaml").write_text(text, encoding="utf-8")
-    back = read_catalogue_yaml(spark, str(tmp_path / "one.yaml"))
-    assert [r.tool_key for r in back.orderBy("first_ord").collect()] == list(tools_map)
-    (tmp_path / "bad.yaml").write_text("- 1\n", encoding="utf-8")
-    assert read_catalogue_yaml(spark, str(tmp_path / "bad.yaml")).count() == 0
-
     sinks.write_catalogue_json(cat, str(tmp_path / "j"))
     assert len("".join(parts(tmp_path / "j")).strip().split("\n")) == 2
 
