@@ -132,10 +132,16 @@ def edited(text: str, following: str) -> str:
 
 
 def _bucket(bounds: list) -> Column:
-    """0 for the ids above all bounds, one more for each bound that an id doesn't pass; null ids come last."""
+    """0 for the ids above all bounds (rising), one more for each bound that an id doesn't pass; null ids come last.
+
+    A binary search in one flat array, so neither depth nor time grows much with the ranges.
+    """
     passed: Column = F.lit(0)
     if bounds:
-        passed = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("doc_id")))
+        falling = F.array(*[F.lit(b) for b in reversed(bounds)])
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+        # behind the end of the array there is a null, which is no reason to go on
+        passed = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(falling, at + s - 1) >= F.col("doc_id"), at + s).otherwise(at))
     return F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(passed)
 
 
@@ -150,11 +156,14 @@ def beside_next(docs: DataFrame) -> DataFrame:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = RANGES_A_TASK * tasks  # several ranges meet in a task, so that tasks come out even
     cuts = frame.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] if n > 1 else [0.5], 10_000).alias("c")).first()["c"]
-    part = _bucket(sorted(set(cuts or [])))
+    bounds = sorted(set(cuts or []))
+    part = _bucket(bounds)
     heads = frame.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # a row for each range
-    host: Column = F.lit(None).cast("int")
-    for k, r in enumerate(heads):
-        host = F.when((F.col("part") == r["part"]) & F.col("doc_id").eqNullSafe(F.lit(r["head"])), F.lit(heads[k - 1]["part"])).otherwise(host)
+    head_of, host_of = {r["part"]: r["head"] for r in heads}, {r["part"]: heads[k - 1]["part"] for k, r in enumerate(heads)}
+    kind = frame.schema["doc_id"].dataType
+    first = F.array(*[F.lit(head_of.get(k)).cast(kind) for k in range(len(bounds) + 1)])
+    before = F.array(*[F.lit(host_of.get(k)).cast("int") for k in range(len(bounds) + 1)])
+    host = F.when(F.col("doc_id").eqNullSafe(F.get(first, F.col("part"))), F.get(before, F.col("part")))
     placed = frame.withColumn("part", part).withColumn("host", host)
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("host").alias("part"), F.lit(True).alias("guest"))

@@ -201,6 +201,11 @@ def test_fingerprints(odd, nothing):
         if a and b and len(g) == 1:
             off.append(g[0].near_edited - sum((a & b).values()) / sum((a | b).values()))
     assert abs(sum(off) / len(off)) < 0.03
+    conf = odd.sparkSession.conf
+    before, _ = conf.get("spark.sql.shuffle.partitions"), conf.set("spark.sql.shuffle.partitions", "211")
+    many = sorted((r.doc_id or -1, r.edited_sha256) for r in fingerprint.compare_with_next(odd).collect())
+    conf.set("spark.sql.shuffle.partitions", before)
+    assert many == sorted((r.doc_id or -1, r.edited_sha256) for g in got.values() for r in g)
     assert fingerprint.compare_with_next(nothing).count() == 0
     one = fingerprint.compare_with_next(odd.filter("doc_id is null")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
