@@ -810,6 +810,25 @@ def summary_sql() -> str:
     )
 
 
+def domains_sql() -> str:
+    """Literals per template and parameter, most frequent first."""
+    return (
+        f"WITH od2 AS (WITH {OR_BASE} SELECT ord, st FROM od), pa AS ({params_sql()}), "
+        "ct AS (SELECT st AS statement, pos, name, example, count(*) AS n FROM pa JOIN od2 USING (ord) GROUP BY ALL), "
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY statement, pos, name ORDER BY n DESC, example) AS r FROM ct) "
+        "SELECT statement, CAST(pos AS INT) AS pos, name, CAST(sum(n) AS BIGINT) AS uses, count(*) AS literals, min(example) AS least, max(example) AS most, "
+        "string_agg(example || ' x' || n, '; ' ORDER BY r) FILTER (r <= 3) AS frequent FROM rk GROUP BY statement, pos, name"
+    )
+
+
+def histogram_sql(clean: bool) -> str:
+    return (
+        f"WITH {OR_BASE}, {statused('od', clean)}, ba AS (SELECT CAST(floor(score / 10) * 10 AS BIGINT) AS bar, count(*) AS records, "
+        "count(*) FILTER (status = 'success') AS accepted, CAST(min(score) AS DOUBLE) AS least, CAST(max(score) AS DOUBLE) AS most FROM vs GROUP BY 1) "
+        "SELECT *, CAST(sum(records) OVER (ORDER BY bar) AS DOUBLE) * 100 / (SELECT CAST(count(*) AS DOUBLE) FROM vs) AS share_upto FROM ba"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     E, O = f"WITH {EV_BASE} ", f"WITH {OR_BASE} "
     pg = _or(numbered_texts({k: e[0] for k, e in ORDERS.items()}))
@@ -909,5 +928,27 @@ def oracle_sql() -> dict[str, str]:
             f"{statused('x', False)} SELECT date_trunc('day', ts) AS window_start, status, count(*) AS records FROM vs GROUP BY ALL"
         ),
     }
+    out |= {
+        "stream_deduplicated": f"WITH {EV_BASE} SELECT sql, question FROM ev UNION SELECT '', ''",  # broken lines have neither
+        "stream_closed_windows": (
+            f"WITH {EV_BASE}, x AS (SELECT * FROM ev UNION ALL SELECT ord, k, t, ts, v, n, '', '', '', 'unknown', '', '', '', '' FROM ev0 WHERE k = 8), "
+            f"{statused('x', False)} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, status, count(*) AS records FROM vs "
+            "WHERE date_trunc('hour', ts) + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM events) GROUP BY ALL"
+        ),
+        "template_support": (
+            O + "SELECT st AS statement, count(*) AS uses, count(DISTINCT question) AS questions, count(DISTINCT db_id) AS databases, "
+            "min(ord) AS first_ord, max(ord) AS last_ord, arg_min(question, ord) AS example FROM od GROUP BY st"
+        ),
+        "literal_domains": domains_sql(),
+        "best_per_template": (
+            O + f", {statused('od', False)}, rk AS (SELECT *, row_number() OVER (PARTITION BY tpl, db_id ORDER BY score DESC, ord) AS r, "
+            "count(*) OVER (PARTITION BY tpl, db_id) AS tools FROM vs WHERE status = 'success') "
+            "SELECT tpl AS statement, db_id, ord, question, CAST(score AS DOUBLE) AS score, tools FROM rk WHERE r = 1"
+        ),
+        "score_histogram": histogram_sql(False),
+        "score_histogram_clean": histogram_sql(True),
+        # blanks beside the sign of a join condition are the one thing that a template doesn't keep
+        "bind_templates": O + "SELECT ord, replace(sql, 's.id=e.cid', 's.id = e.cid') AS bound, '' AS missing FROM od",
+    }
     out.update({name: pass_sql(name) for name in PASSES})
     return out

@@ -15,6 +15,7 @@ from ..functions.dialects import fan_out
 from ..operators import detect as D
 from ..operators.catalogue import as_export_rows
 from ..operators.curate import catalogue_layout, create_tools, curate, curate_viewer, with_status
+from ..operators.mining import best_per_template, bind, literal_domains, own_bindings, score_histogram, template_support
 from ..operators.normalize import (
     datasets_clean,
     normalize,
@@ -28,13 +29,14 @@ from ..operators.search import preview, record_preview, search_catalogue, search
 from ..session import spread, work_folder
 from ..sources.corpus import corpus_from_lines
 from ..sources.sinks import catalogue_yaml, load_catalogue, settings_of, summary_text, upsert_catalogue
-from ..streaming.jobs import status_counts, write_counts
+from ..streaming.jobs import deduplicated, status_counts, write_counts
 from .corpora import event_lines, event_records, odd_lines, order_records, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 COMPAT_CFG, CLEAN_CFG = CurationConfig(), CurationConfig(mode=CLEAN)
 BATCH = 400
+QUOTED = ["literal"]  # kinds of parameters that stand in quotes
 
 
 def _events(spark: SparkSession, sf: str, cfg: CurationConfig = COMPAT_CFG) -> DataFrame:
@@ -335,10 +337,54 @@ def stream_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/counts")
 
 
+def stream_closed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Status counts of the hours that the watermark (ten minutes late) has closed, in append mode."""
+    events = spark.readStream.schema(scan(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    counts = status_counts(event_records(spark, sf, events))
+    counts = counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    out = work_folder(spark, "closed-windows")
+    write_counts(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/counts")
+
+
 def batch_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return status_counts(event_records(spark, sf), window="1 day")
 
 
+def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    """Which statements a stream of events holds; repeated ones within a year are suppressed."""
+    events = spark.readStream.schema(scan(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    records = normalize(event_records(spark, sf, events), "ts")
+    kept = deduplicated(records, ["sql", "question"], "365 days").select("sql", "question")
+    out = work_folder(spark, "deduplicated")
+    write_counts(kept, f"{out}/kept", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{out}/kept")
+
+
+def support(spark: SparkSession, sf: str) -> DataFrame:
+    return template_support(T.extract_templates(order_records(spark, sf)))
+
+
+def domains(spark: SparkSession, sf: str) -> DataFrame:
+    return literal_domains(T.extract_templates(order_records(spark, sf)))
+
+
+def best_tools(spark: SparkSession, sf: str) -> DataFrame:
+    return best_per_template(with_status(order_records(spark, sf)))
+
+
+def histogram(cfg: CurationConfig) -> Query:
+    return lambda spark, sf: score_histogram(with_status(order_records(spark, sf), cfg))
+
+
+def bind_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order template bound to the literals it was made from: the statement comes back."""
+    df = T.extract_templates(order_records(spark, sf), CLEAN_CFG).select("ord", "statement", "params")
+    own = df.select("ord", own_bindings(F.col("params"), QUOTED).alias("bindings"))
+    bound = bind(df.select("ord", "statement"), own, "ord")
+    return bound.select("ord", "bound", F.array_join("missing", ",").alias("missing"))
+
+
 QUERIES: dict[str, Query] = {
     "corpus_normalize": corpus_normalize,
     "corpus_rejects": corpus_rejects,
@@ -406,4 +452,12 @@ QUERIES: dict[str, Query] = {
     "datasets_top20": datasets_top20,
     "stream_status_counts": stream_status_counts,
     "batch_status_counts": batch_status_counts,
+    "stream_closed_windows": stream_closed_windows,
+    "stream_deduplicated": stream_deduplicated,
+    "template_support": support,
+    "literal_domains": domains,
+    "best_per_template": best_tools,
+    "score_histogram": histogram(COMPAT_CFG),
+    "score_histogram_clean": histogram(CLEAN_CFG),
+    "bind_templates": bind_templates,
 }

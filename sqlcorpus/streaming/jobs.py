@@ -47,6 +47,11 @@ def curate_stream(
     )
 
 
+def _watermarked(records: DataFrame, delay: str) -> DataFrame:
+    """With a watermark on ``ts``, which has to be a point in time for that."""
+    return records.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def status_counts(
     records: DataFrame,
     cfg: CurationConfig = CurationConfig(),
@@ -59,12 +64,23 @@ def status_counts(
     windows leave the state. The same plan on a batch counts everything.
     """
     if delay and records.isStreaming:
-        records = records.withWatermark("ts", delay)
+        records = _watermarked(records, delay)
     statuses = with_status(normalize(records, "ts"), cfg).select("ts", "status")
     counts = statuses.groupBy(F.window("ts", window).alias("w"), "status").agg(F.count("*").alias("records"))
     return counts.select(F.col("w.start").alias("window_start"), "status", "records")
 
 
+def deduplicated(records: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
+    """The first record of each key; on a stream, for as long as ``delay`` after its event time ``ts``.
+
+    The watermark lets keys leave the state, so a stream's state is that of ``delay``, not of the
+    whole past. A batch keeps one row for each key.
+    """
+    if not records.isStreaming:
+        return records.dropDuplicates(keys)
+    return _watermarked(records, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def write_counts(counts: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
     """Write windowed counts to Parquet.
 
