@@ -1,6 +1,7 @@
 """Secret scans: candidates by shape, false positives removed by a random forest, all in column expressions.
 
-A candidate is a long run of key characters. Its features are its length, its characters and
+A candidate is a long run of key characters, a private key block, or a value of eight characters
+and more, whatever its signs, that is assigned to a name like password. Its features are its length, its characters and
 the changes between them, how much of it dictionary words cover, whether it stands in a path,
 and the words beside it. The forest is fitted on labelled findings by Spark's own learner and
 then written out as one CASE expression for each tree, so scoring joins nothing and moves no text.
@@ -23,12 +24,22 @@ MASK = "[secret]"
 BEFORE, AFTER = 48, 16  # characters beside a candidate that are looked at
 
 # Shapes, names that announce a secret, and words that real secrets seldom hold.
-BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}"
-CANDIDATE = f"(?:{BLOCK})|(?:{RUN})"
+BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+# a sign of equality belongs to a run only as padding at its end, not between a name and its value
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]|[\"'`][^\s\"'`,;)\]}]))?"
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN .*)"
 NAMES = r"(?i)(?:token|secret|passwd|password|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential)"
 ASSIGNED = NAMES + r"[A-Za-z0-9_]{0,20}[\"']?\s{0,3}(?:=|:|=>|:=)\s{0,3}[\"']?$"
+# Values of at least eight characters, signs too: between quotes behind a name from NAMES, or bare behind a name and '=' or ':'.
+# References like ${NAME} are no values. A sign that often follows a value belongs to it only if the value goes on.
+QUOTED = "|".join(
+    f"(?<={q})(?<={NAMES}[A-Za-z0-9_]{{0,20}}[\"']?\\s{{0,3}}(?:=|:|=>|:=)\\s{{0,3}}{q})(?!\\$[{{(]|\\{{\\{{)(?:[^{q}\\s\\\\]|\\\\\\S){{8,}}+(?={q})" for q in "\"'"
+)
+BARE = (
+    r"(?:(?<=[=:>])|(?<=[=:>][ \t])|(?<=[=:>][ \t]{2})|(?<=[=:>][ \t]{3}))(?<=" + NAMES + r"[A-Za-z0-9_]{0,20}[\"']?[ \t]{0,3}(?:=|:|=>|:=)[ \t]{0,3})(?![=:>]|//|\$[{(]|\{\{)"
+    r"(?:[^\s\"'`<>&;,.)\]}]|[&;,.)\]}](?![\s\"'`<>&;,.)\]}]|$|[A-Za-z0-9_.-]{1,64}=)){8,}+"
+)
+CANDIDATE = f"(?:{BLOCK})|(?<=[\"'=:> \\t])(?:{QUOTED}|{BARE})|(?:{RUN})"  # one cheap look back before the long ones
 WORDS = r"(?i)(?:the|and|ing|tion|ment|ation|that|with|for|this|have|from|test|example|sample|name|user|data|file|http|www|index|value|string|number|lich|ung|ent|que|eau|ado|ión|ver|er|an|on|en|re|st|es|or|ou|de|le|la)"
 
 FEATURES = [
@@ -70,8 +81,10 @@ def with_candidates(docs: DataFrame, text: str, gaps: str, found: str) -> DataFr
     parts = docs.select("*", F.inline(F.array(cut)))
 
     def one(value: Column, i: Column) -> Column:
-        before = F.right(F.col(gaps)[i], F.lit(BEFORE))
-        after = F.left(F.col(gaps)[i + 1], F.lit(AFTER))
+        near = lambda k: F.concat(F.col(gaps)[k], F.coalesce(F.get(hits, k), F.lit("")))
+        # a long name is a candidate itself, and still stands before its value
+        before = F.right(F.concat(F.when(i > 0, near(F.greatest(i - 1, F.lit(0)))).otherwise(F.lit("")), F.col(gaps)[i]), F.lit(BEFORE))
+        after = F.left(F.concat(near(i + 1), F.coalesce(F.get(gaps, i + 2), F.lit(""))), F.lit(AFTER))
         return F.struct(
             value.alias("value"), features(value, before, after).alias("x"), value.rlike(ISSUED).alias("issued"), before.rlike(ASSIGNED).alias("assigned")
         )
