@@ -23,7 +23,19 @@ SHAPES = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
+# IBANs are looked for first (see ``valid_ibans``); ``__IBANS__`` stands for those that a text has.
+OTHERS = "|".join(f"(?:{p})" for k, p in SHAPES.items() if k != "iban")
+ANY = "|".join(f"(?:{'(?<![A-Za-z0-9])(?:__IBANS__)(?![A-Za-z0-9])' if k == 'iban' else p})" for k, p in SHAPES.items())
+IBAN_HERE = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])))"
+#: Characters of a country's IBAN, from the public registry. For other countries any length goes.
+IBAN_LENGTHS = {
+    n: c.split()
+    for n, c in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "RU", 32: "LC",
+    }.items()
+}
 
 CYCLE = 146_097  # days of 400 years, 27 x 5411; dates from 1800-01-01 to 2199-12-31
 DATE_LEFT, DATE_RIGHT = 27, 5_411
@@ -177,6 +189,33 @@ def iban(text: Column, key: str) -> Column:
     return _with(_only(text, "0-9A-Z"), go)
 
 
+def valid_ibans(text: Column) -> Column:
+    """The IBANs of a text with right check digits, each once, the longest first.
+
+    An IBAN may begin at each place of its shape, inside another's too. What follows it, words,
+    numbers or a card, is cut off at a blank: by the country's length, else the longest part with
+    right check digits counts.
+    """
+
+    def best(longest: Column) -> Column:
+        words = F.split(longest, " ")
+        parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        sized = F.filter(parts, lambda p: F.length(_only(p, "0-9A-Z")).between(15, 34) & p.rlike(f"^(?:{SHAPES['iban']})$"))
+        right = F.filter(sized, lambda p: _with(_only(p, "0-9A-Z"), lambda t: mod97(F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4)))) == 1)
+
+        def own_length(p: Column) -> Column:
+            n = F.lit(0)
+            for size, countries in IBAN_LENGTHS.items():
+                n = F.when(F.substring(p, 1, 2).isin(countries), F.lit(size)).otherwise(n)
+            return F.length(_only(p, "0-9A-Z")) == n
+
+        return _with(right, lambda r: F.coalesce(F.get(F.filter(r, own_length), 0), F.get(r, 0)))
+
+    found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(IBAN_HERE), F.lit(1)), best), lambda p: p.isNotNull()))
+    ranked = F.array_sort(F.transform(found, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+    return F.coalesce(ranked["p"], F.array().cast("array<string>"))
+
+
 def _spaced(shape: Column, chars: Column) -> Column:
     """``chars`` with the blanks of ``shape`` put back."""
 
@@ -217,11 +256,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "fo
     from .common import fresh
 
     columns = [c for c in docs.columns if c != found]
-    gaps, hits = fresh(docs.columns, "gaps"), fresh(docs.columns, "hits")
-    marked = docs.select(*columns).withColumns({hits: F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))})
+    gaps, hits, ibans, shapes = (fresh(docs.columns, n) for n in ("gaps", "hits", "ibans", "shapes"))
+    head, tail = ANY.split("__IBANS__")
+    own = docs.select(*columns, F.inline(F.array(F.struct(valid_ibans(F.col(text)).alias(ibans)))))
+    own = own.withColumn(shapes, F.when(F.size(ibans) > 0, F.concat(F.lit(head), F.array_join(ibans, "|"), F.lit(tail))).otherwise(F.lit(OTHERS)))
+    marked = own.withColumns({hits: F.regexp_extract_all(F.col(text), F.col(shapes), F.lit(0))})
     new = F.transform(F.col(hits), lambda v: pseudonym(v, key))
     # the optimiser keeps a generator's input as it is, so the matches are made once
-    marked = marked.select(*columns, F.inline(F.array(F.struct(F.coalesce(new, F.array()).alias(hits), F.split(F.col(text), ANY, -1).alias(gaps)))))
+    marked = marked.select(*columns, F.inline(F.array(F.struct(F.coalesce(new, F.array()).alias(hits), F.split(F.col(text), F.col(shapes), -1).alias(gaps)))))
     pieces = F.zip_with(F.col(gaps), F.col(hits), lambda g, h: F.concat(g, F.coalesce(h["text"], F.lit(""))))
     replaced = F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(F.col(text)).alias(text)
     kinds = F.filter(F.col(hits)["kind"], lambda k: k != "")

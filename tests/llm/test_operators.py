@@ -289,6 +289,26 @@ def test_pseudonyms(session, odd, nothing):
     assert private.pseudonymise(nothing, "k").count() == 0
 
 
+def test_ibans_end_where_they_end(session):
+    cards = "4111 1111 1111 1111"
+    own = ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "PL61 1090 1014 0000 0712 1981 2874"]
+    tails = [("EUR", 0), ("USD UND MEHR", 0), ("2024", 0), (cards, 1), ("", 0), ("2024 A1 " + cards, 1), ("AT611904300234573201", 0)]
+    texts = [(a, t, n) for a in own for t, n in tails]
+    invalid = [f"BE12 {cards}", f"DE12 {cards} 22", f"ZZ12 {cards}", f"BE12 {own[3]} X"]
+    docs = session.createDataFrame([(i, f"x {a} {t}") for i, (a, t, _) in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(invalid)], "doc_id long, text string")
+    got = {r.doc_id: r for r in private.pseudonymise(docs, "k").collect()}
+    for i, (a, t, n) in enumerate(texts):
+        r = got[i]
+        assert a not in r.text and cards not in r.text and r.text.startswith("x " + a[:2]), (a, t, r)
+        assert r.found == {"iban": 2 if t == own[3] else 1} | ({"card": 1} if n else {}), (a, t, r)
+        code = r.text[2 : 2 + len(a)].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+        if not n and t != own[3]:
+            assert r.text[2 + len(a) :] == " " + t
+    assert all(got[1000 + i].found.get("card", 0) == (i < 3) and cards not in got[1000 + i].text for i in range(4))
+    assert got[1003].found == {"iban": 1} and got[1003].text.startswith("BE12 AT")
+
+
 def test_feistel_is_a_permutation(session):
     n = 27 * 11
     rows = session.range(n).select(private.feistel(F.floor(F.col("id") / 11), F.col("id") % 11, F.lit(27), F.lit(11), "k", "t").alias("s"))
