@@ -7,11 +7,12 @@ them up, and EM with forward and backward passes learns the entries' probabiliti
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ UNKNOWN = "und"
 MAX_PIECE = 8  # bytes of the longest vocabulary entry that is used
 MAX_WORD = 32  # a longer run of letters is scored in stretches of so many bytes
 SAMPLE_DOCS = 1500  # labelled rows a language is learned from, about
-SAMPLE_WORDS = 60_000  # (language, word) counts that training takes, the most frequent
+BLOCK_WORDS = 20_000  # words whose segmentations training holds together
+HELD_BLOCKS = 6  # a language of no more blocks keeps them from round to round
 CACHED_WORDS = 400_000  # words whose scores a task keeps at a time
 LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -125,31 +127,36 @@ def usable_pieces(rank_file: bytes) -> Pieces:
     return Pieces({t for t in read_ranks(rank_file) if len(t) <= MAX_PIECE})
 
 
-def learn(counts: list[tuple[str, bytes, int]], pieces: Pieces, rounds: int = 4, smooth: float = 0.02) -> LanguageModel:
-    """EM for each language on its word counts. A language without words is not learned."""
-    languages = sorted({c[0] for c in counts})
-    words = sorted({c[1] for c in counts})
-    at, lattice = {w: i for i, w in enumerate(words)}, Lattice(words, pieces)
-    table = np.zeros((len(languages), len(pieces.lengths)))
-    for n, lang in enumerate(languages):
-        weight = np.zeros(len(words))
-        for c in counts:
-            if c[0] == lang:
-                weight[at[c[1]]] += c[2]
+def learn(counts: Iterable[tuple[str, list[bytes], np.ndarray]], pieces: Pieces, rounds: int = 4, smooth: float = 0.02) -> LanguageModel:
+    """EM for each language on its distinct words and their counts. A language without words is not learned.
+
+    Each language is learned from its own words alone, all of them, in blocks of ``BLOCK_WORDS``.
+    """
+    table = {}
+    for lang, words, weight in counts:
+        if not words:
+            continue
+        cuts = range(0, len(words), BLOCK_WORDS)
+        lattices = lambda words=words, cuts=cuts: (Lattice(words[k : k + BLOCK_WORDS], pieces) for k in cuts)
+        held = list(lattices()) if len(cuts) <= HELD_BLOCKS else None
         p = np.exp(-2.0 * pieces.lengths)
         p /= p.sum()
         for _ in range(rounds):
-            uses = lattice.expected(p, weight) + smooth
+            uses = np.full(len(p), smooth)
+            for k, lattice in zip(cuts, held or lattices(), strict=True):
+                uses += lattice.expected(p, weight[k : k + BLOCK_WORDS])
             p = uses / uses.sum()
-        table[n] = p
-    return LanguageModel(languages, pieces, table)
+        table[lang] = p
+    languages = sorted(table)
+    return LanguageModel(languages, pieces, np.stack([table[x] for x in languages]) if table else np.zeros((0, len(pieces.lengths))))
 
 
 def fit(docs: DataFrame, vocabulary: str, train: Column, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learn from about ``sample_docs`` rows of each language among the rows that ``train`` marks.
 
     Only ``text`` and a non-null ``lang`` are used; a hash of doc_id picks the sample. The
-    words are counted by Spark; the driver gets the ``SAMPLE_WORDS`` most frequent.
+    words are counted by Spark; the driver gets all counts of the sample, however rare a word
+    or a language is. A language of up to ``sample_docs`` rows is learned from all of them.
     """
     with open(vocabulary, "rb") as f:
         pieces = usable_pieces(f.read())
@@ -176,8 +183,14 @@ def fit(docs: DataFrame, vocabulary: str, train: Column, sample_docs: int = SAMP
             )
 
     counts = sample.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(SAMPLE_WORDS).collect()
-    return learn([(r["lang"], bytes(r["word"]), r["n"]) for r in top], pieces)
+    got = counts.toArrow()
+
+    def by_language() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        for lang in sorted(r["lang"] for r in sizes):
+            own = got.filter(pc.equal(got["lang"], lang)).sort_by("word")
+            yield lang, own["word"].to_pylist(), own["n"].to_numpy().astype(float)
+
+    return learn(by_language(), pieces)
 
 
 class Scorer:

@@ -237,6 +237,17 @@ def test_language_held_out_accuracy(session):
     assert judged.filter("lang = lang_pred").count() >= 0.97 * judged.count()
 
 
+def test_rare_language_keeps_its_words(session):
+    """One language of 70,000 distinct words seen twice, and one of few words seen once."""
+    letters = lambda k, of: "".join(of[k // len(of) ** d % len(of)] for d in range(6))
+    rows = [(i, " ".join(letters(k, "abcdefgh") for k in range(i * 700, i * 700 + 700)), "aa") for i in range(100)] * 2
+    rows += [(1000 + i, " ".join(letters(k * 97, "qrstuvwx") for k in range(i * 20, i * 20 + 20)), "zz") for i in range(3)]
+    docs = session.createDataFrame([(k, t, c) for k, (_, t, c) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, FILE, F.lit(True))
+    assert model.languages == ["aa", "zz"]
+    assert langid.detect(docs, model).filter("lang <> lang_pred").count() == 0
+
+
 def test_language_odd_cases(odd, nothing):
     model = langid.fit(odd, FILE, F.lit(True))
     got = langid.detect(odd, model).collect()
