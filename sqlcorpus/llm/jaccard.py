@@ -251,6 +251,14 @@ def cross_pairs(lists: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def all_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of one short list whose sizes and places allow a link: a, b."""
+    rows = lists.select("shingle", F.struct("node", "n", "place").alias("m"))
+    x, y = rows.withColumnRenamed("m", "x"), rows.withColumnRenamed("m", "y")
+    pairs = x.join(y, "shingle").filter((F.col("x.node") < F.col("y.node")) & _possible("x", "y"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def probe(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that reach the overlap: a, b, shared.
 
@@ -304,6 +312,34 @@ def components(links: DataFrame) -> DataFrame:
         now = then.select("id", "label")
 
 
+def links_of(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every verified link, also inside a component: ``members`` and ``links``.
+
+    ``members`` has a row for each row of ``docs``: id, doc_id, n_shingles and node, the number of its
+    distinct set (null for a row that can't link). ``links`` has a row for each two distinct sets that
+    link: a and b (nodes, a < b), shared, n_a, n_b, copies_a, copies_b. Rows of one node hold equal
+    sets and link with each other. A group of n different near copies has up to n (n - 1) / 2 links.
+    """
+    sets = sets_of(docs, buckets)
+    nodes = stored(nodes_of(sets), "shingle-nodes")
+    found = stored(probe(all_pairs(stored(postings(nodes), "short-lists")), nodes), "links")
+    named = sets.select("id", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("shingles").isNotNull(), F.coalesce("digest", F.col("id").cast("string"))).alias("set"))
+    members = named.join(nodes.select("set", "node"), "set", "left").select("id", "doc_id", "n_shingles", "node")
+    copies = nodes.select("set", "node", "n").join(named.filter("set is not null").groupBy("set").agg(F.count("*").alias("copies")), "set")
+    side = lambda k: copies.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("copies").alias(f"copies_{k}"))
+    links = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", "n_a", "n_b", "copies_a", "copies_b")
+    return members, links
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """id, doc_id, n_shingles, n_links for each row: how many other rows it links with, those of equal sets too."""
+    ends = links.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).union(links.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
+    others = ends.groupBy("node").agg(F.sum("n").alias("others"))
+    own = members.filter("node is not null").groupBy("node").agg((F.count("*") - 1).alias("equal"))
+    counts = own.join(others, "node", "left").select("node", (F.col("equal") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counts, "node", "left").select("id", "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """id, doc_id, n_shingles, component, component_id for every row of ``docs``.
 

@@ -92,3 +92,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op1_near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other rows each row links with, counted over all verified links."""
+    return jaccard.link_counts(*jaccard.links_of(documents(spark, sf_dir))).select("doc_id", "n_shingles", "n_links")

@@ -94,6 +94,24 @@ def test_near_duplicates_match_brute_force(odd):
     assert any(v > 3 for v in Counter(smallest.get(find(i)) for i in range(len(rows))).values())
 
 
+def test_links_match_brute_force(odd, nothing):
+    rows = odd.select("doc_id", "text").collect()
+    sets = [shingles(r.text) for r in rows]
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = Counter((r.doc_id, len(s), sum(linked(s, o) for o in sets) - bool(s)) for r, s in zip(rows, sets, strict=True))
+    copies = Counter(s for s in sets if s)
+    distinct = list(copies)
+    pairs = Counter(
+        tuple(sorted([(len(x), copies[x]), (len(y), copies[y])])) + (len(x & y),) for i, x in enumerate(distinct) for y in distinct[:i] if linked(x, y)
+    )
+    assert sum(pairs.values()) > 5
+    for buckets in (1, 7):
+        members, links = jaccard.links_of(odd, buckets)
+        assert Counter(tuple(sorted([(r.n_a, r.copies_a), (r.n_b, r.copies_b)])) + (r.shared,) for r in links.collect()) == pairs
+        assert Counter(map(tuple, jaccard.link_counts(members, links).drop("id").collect())) == want
+    assert jaccard.link_counts(*jaccard.links_of(nothing, 2)).count() == 0
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert jaccard.near_duplicates(nothing, 2).count() == 0
 
