@@ -14,31 +14,36 @@ def shortened(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+def counted() -> Column:
+    """The parameters as the tool table shows them."""
+    n = F.coalesce(F.size("parameters"), F.lit(0))
+    return F.when(n > 0, F.concat(n.cast("string"), F.lit(" param(s)"))).otherwise(F.lit("No params"))
+
+
 def preview(viewer: DataFrame) -> DataFrame:
     """The six columns of the tool table, as shown."""
 
     def shown(name: str) -> Column:
         return shortened(F.coalesce(F.col(name), F.lit("")), SHOWN[name]).alias(name)
 
-    n = F.coalesce(F.size("parameters"), F.lit(0))
-    counted = F.when(n > 0, F.concat(n.cast("string"), F.lit(" param(s)"))).otherwise(F.lit("No params"))
     return viewer.select(
         "tool_key",
         shown("description"),
         shown("sql"),
-        counted.alias("parameters"),
+        counted().alias("parameters"),
         F.col("quality_score").cast("string").alias("quality_score"),
         shown("labels"),
     )
 
 
 def search_catalogue(viewer: DataFrame, text: str) -> DataFrame:
-    """Preview rows of the tools whose key, description, statement or labels contain the text, whatever the case.
+    """Preview rows of the tools in which any of the six columns contains the text, whatever the case.
 
-    The whole columns are searched; the preview alone is cut.
+    Key, description, statement and labels are searched whole, the preview alone is cut;
+    parameters and score are searched as they are shown.
     """
     hit = F.lit(False)
-    for c in ("tool_key", "description", "sql", "labels"):
+    for c in (*map(F.col, ("tool_key", "description", "sql", "labels")), counted(), F.col("quality_score").cast("string")):
         hit = hit | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
     return preview(viewer.filter(hit))
 

@@ -294,3 +294,12 @@ def test_long_statement(spark):
         assert len(a.params) == 3003
         assert a.statement.endswith("{{.w2999}})")
         assert len(b.params) > 2
+
+
+def test_search_covers_shown_counts_and_scores(spark):
+    from sqlcorpus.operators.search import search_catalogue
+
+    rows = [("a", "d", "SELECT 1", [], 0.75, "x"), ("b", "d", "SELECT 2", ["p", "q", "r"], 0.5, "x"), ("c", None, None, None, None, None)]
+    viewer = spark.createDataFrame(rows, "tool_key string, description string, sql string, parameters array<string>, quality_score double, labels string")
+    keys = lambda text: {r.tool_key for r in search_catalogue(viewer, text).collect()}
+    assert keys("no PARAMS") == {"a", "c"} and keys("3 param(s)") == {"b"} and keys("0.75") == {"a"} and keys("select 2") == {"b"}
