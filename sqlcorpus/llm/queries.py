@@ -8,13 +8,52 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chats, decontam, fingerprint, jaccard, langid, licenses, private, quality, secrets
+from . import bpe, chats, collocations, decontam, fingerprint, jaccard, langid, licenses, periods, pieces, private, quality, secrets
 from .common import crc_mod, ship, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Every phrase of one to five words, counted; then the cuts, the longer phrases and the ranks.
+ORACLES["op12_collocations"] = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), pieces AS (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM texts
+), grams AS (
+    SELECT lang, width, array_to_string(words[start : start + width - 1], ' ') AS phrase
+    FROM (SELECT lang, words, width, unnest(range(1, len(words) - width + 2)) AS start FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS width))
+), counted AS MATERIALIZED (
+    SELECT lang, width, phrase, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE width = 1 GROUP BY lang
+), frequent AS MATERIALIZED (
+    SELECT * FROM counted WHERE a >= 100
+), candidates AS (
+    SELECT lang, width, phrase, string_split(phrase, ' ') AS words, a FROM frequent WHERE width > 1
+), parts AS (
+    SELECT lang, phrase, a, k, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 : width], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, width)) AS k FROM candidates)
+), cuts AS (
+    SELECT p.lang, p.phrase, p.a, k, h.a AS l, t.a AS r, n, (1000::HUGEINT * p.a * n) // (h.a::HUGEINT * t.a) AS score
+    FROM parts p JOIN frequent h ON h.lang = p.lang AND h.phrase = head
+    JOIN frequent t ON t.lang = p.lang AND t.phrase = tail JOIN totals ON totals.lang = p.lang
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, array_to_string(words[s : s + m - 1], ' ') AS phrase, max(a) AS a
+    FROM candidates, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS s) WHERE m < width AND s + m - 1 <= width GROUP BY ALL
+), kept AS (
+    SELECT * FROM lowest ANTI JOIN inside USING (lang, phrase, a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
@@ -98,3 +137,18 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other rows each row links with, counted over all verified links."""
     return jaccard.link_counts(*jaccard.links_of(documents(spark, sf_dir))).select("doc_id", "n_shingles", "n_links")
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_digests(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(documents(spark, sf_dir))
