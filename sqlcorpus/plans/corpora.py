@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spots import sealed
-from ..session import spread
 
 
 @dataclass(frozen=True)
@@ -103,6 +102,11 @@ def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over the session's shuffle partitions: a test table is one file of one row group, so one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _pick(shape: Column, texts: list[str | None]) -> Column:
     """The shape's text; null where the shape has none."""
     return F.element_at(F.array(*[F.lit(t).cast("string") for t in texts]), (shape + 1).cast("int"))
@@ -131,7 +135,7 @@ def money(c: str) -> Column:
 
 def event_records(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Raw records from ``events``: ord, ts and the raw fields (null = field absent)."""
-    events = spread(scan(spark, sf_dir, "events")) if events is None else events
+    events = dealt(scan(spark, sf_dir, "events")) if events is None else events
     number = (F.pmod(F.col("event_id"), F.lit(90)) + 10).cast("string")
     values = {"<T>": F.col("event_type"), "<V>": money("value"), "<N>": number}
     return _compose(events, F.col("event_id"), EVENT_SHAPES, values, "ts")
@@ -148,7 +152,7 @@ def event_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records (question, sql) from ``orders``; the customer's segment is the database."""
-    orders = spread(scan(spark, sf_dir, "orders"))
+    orders = dealt(scan(spark, sf_dir, "orders"))
     number = (F.pmod(F.col("o_orderkey"), F.lit(90)) + 10).cast("string")
     values = {
         "<P>": F.col("o_orderpriority"),
@@ -189,7 +193,7 @@ ODD_LINES = [
 
 def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every odd kind, one per customer."""
-    customers = spread(scan(spark, sf_dir, "customer"))
+    customers = dealt(scan(spark, sf_dir, "customer"))
     key = F.col("c_custkey")
     line = _fill(_pick(F.pmod(key, F.lit(len(ODD_LINES))), ODD_LINES), {"<C>": key.cast("string")})
     return customers.select(key.alias("ord"), line.alias("value"))

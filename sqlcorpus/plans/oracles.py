@@ -9,7 +9,7 @@ plain SQL arithmetic.
 from __future__ import annotations
 
 from .corpora import BROKEN_LINE, EVENT_SHAPES, ODD_LINES, ORDER_SHAPES
-from .queries import BATCH
+from .queries import BATCH, TOP
 
 # --- expected templates, per shape ------------------------------------------------
 # (compat statement, names; clean statement, names); None means as in compat.
@@ -461,6 +461,10 @@ def key_sql(digits: int) -> str:
     return f"tool_name || '_' || substr(sha1(sql || question), 1, {digits})"
 
 
+def id_sql() -> str:
+    return "sha1(tool_name || chr(0) || sql || chr(0) || question)"
+
+
 def sentence_sql(st: str, names: str) -> str:
     u = f"upper({st})"
     agg = (
@@ -600,6 +604,13 @@ _PREVIEW = (
     f"printf('%.1f', quality_score) AS quality_score, {cutoff('labels', 50)} AS labels"
 )
 
+def search_sql(text: str) -> str:
+    """Preview rows with the text in any of the six columns: four whole, parameters and score as shown."""
+    whole = ["v.tool_key", "v.question", "v.st", "v.labels", "p.parameters", "p.quality_score"]
+    hit = " OR ".join(f"contains(lower({c}), {q(text)})" for c in whole)
+    return f"WITH {OR_BASE}, {viewer_cte('st', 'names')}, pv AS (SELECT {_PREVIEW} FROM vw) SELECT p.* FROM pv p JOIN vw v USING (tool_key) WHERE {hit}"
+
+
 _WORDS = ["SELECT", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING", "UNION", "WITH"]
 
 
@@ -754,8 +765,10 @@ def yaml_sql() -> str:
     )
     return (
         f"WITH {OR_BASE}, {statused('od', False)}, nm AS (SELECT *, {name_sql('st', False)} AS tool_name, {sentence_sql('st', 'names')} AS text FROM vs WHERE status = 'success'), "
-        f"ky AS (SELECT *, {key_sql(4)} AS tool_key FROM nm), lst AS (SELECT *, row_number() OVER (PARTITION BY tool_key ORDER BY ord DESC) AS rn FROM ky) "
-        f"SELECT {block} AS value FROM lst WHERE rn = 1"
+        # a tool is its name, statement and question; keys that several tools share are lengthened
+        f"ky AS (SELECT *, {key_sql(4)} AS short_key, {id_sql()} AS tool_id, row_number() OVER (PARTITION BY tool_name, sql, question ORDER BY ord DESC) AS rn FROM nm), "
+        "lst AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY short_key) > 1 THEN short_key || '_' || substr(tool_id, 1, 16) ELSE short_key END AS tool_key FROM ky WHERE rn = 1) "
+        f"SELECT {block} AS value FROM lst"
     )
 
 
@@ -829,6 +842,30 @@ def histogram_sql(clean: bool) -> str:
     )
 
 
+def retrieval_sql(tools: str, questions: str, key: str, tool: str, k: int = TOP) -> str:
+    """Every tool scored for every question; ``tools`` gives (id, text), ``questions`` gives (key, text)."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    return (
+        f"tl AS (SELECT id, {words} AS w FROM ({tools})), sz AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS t FROM tl), "
+        "us AS (SELECT id, len, word, count(*) AS uses FROM (SELECT id, len(w) AS len, unnest(w) AS word FROM tl) GROUP BY ALL), "
+        "hv AS (SELECT word, count(*) AS tools FROM us GROUP BY word), "
+        "rw AS (SELECT word, tools, greatest(1, CAST(floor(ln(1 + (n - tools + CAST(0.5 AS DOUBLE)) / (tools + CAST(0.5 AS DOUBLE))) * 1000) AS BIGINT)) AS rarity, n, t FROM hv, sz), "
+        "po AS MATERIALIZED (SELECT word, id, greatest(1, (rarity * uses * 2200) // (1000 * uses + 300 + (len * n * 900) // t)) AS worth FROM us JOIN rw USING (word)), "
+        f"qs AS (SELECT key, text FROM ({questions})), qw AS (SELECT text, unnest(list_distinct({words})) AS word FROM (SELECT DISTINCT text FROM qs)), "
+        "sc AS (SELECT text, id, CAST(sum(worth) AS BIGINT) AS score FROM qw JOIN po USING (word) GROUP BY ALL), "
+        f"rk AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= {k}) "
+        f"SELECT key AS {key}, rank, id AS {tool}, score FROM qs JOIN rk USING (text)"
+    )
+
+
+def retrieve_topk_sql() -> str:
+    tools = (
+        f"WITH {OR_BASE}, {statused('od', False)}, nm AS (SELECT *, {sentence_sql('st', 'names')} AS described FROM vs WHERE status = 'success') "
+        "SELECT ord AS id, question || ' ' || described AS text FROM nm"
+    )
+    return "WITH " + retrieval_sql(tools, f"WITH {EV_BASE} SELECT ord AS key, question AS text FROM ev", "ord", "tool_ord")
+
+
 def oracle_sql() -> dict[str, str]:
     E, O = f"WITH {EV_BASE} ", f"WITH {OR_BASE} "
     pg = _or(numbered_texts({k: e[0] for k, e in ORDERS.items()}))
@@ -882,8 +919,8 @@ def oracle_sql() -> dict[str, str]:
         "catalogue_merge": merge_sql(),
         "catalogue_identity": identity_sql(),
         "catalogue_yaml": yaml_sql(),
-        "catalogue_search": O + f", {viewer_cte('st', 'names')} SELECT {_PREVIEW} FROM vw WHERE " + " OR ".join(
-            f"contains(lower({c}), 'group')" for c in ["vw.tool_key", "vw.question", "vw.st", "vw.labels"]),
+        "catalogue_search": search_sql("group"),
+        "catalogue_search_counts": search_sql("3 param"),
         "catalogue_preview": O + f", {viewer_cte('st', 'names')} SELECT {_PREVIEW} FROM vw",
         "tool_details": details_sql(),
         "dataset_preview": f"SELECT doc_id AS ord, {cutoff('text', 100)} AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents",
@@ -940,6 +977,15 @@ def oracle_sql() -> dict[str, str]:
             "min(ord) AS first_ord, max(ord) AS last_ord, arg_min(question, ord) AS example FROM od GROUP BY st"
         ),
         "literal_domains": domains_sql(),
+        "nearest_vectors": (
+            "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / 1e-6) AS BIGINT)) AS v FROM embeddings), "
+            "d AS (SELECT a.vec_id, b.vec_id AS id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance "
+            "FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) "
+            f"SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, id) AS rank, id, distance FROM d QUALIFY rank <= {TOP}"
+        ),
+        "nearest_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
+        "retrieve_topk": retrieve_topk_sql(),
+        "retrieve_documents": "WITH " + retrieval_sql("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS key, text FROM benchmark", "item_id", "doc_id"),
         "best_per_template": (
             O + f", {statused('od', False)}, rk AS (SELECT *, row_number() OVER (PARTITION BY tpl, db_id ORDER BY score DESC, ord) AS r, "
             "count(*) OVER (PARTITION BY tpl, db_id) AS tools FROM vs WHERE status = 'success') "

@@ -14,8 +14,9 @@ from ..functions import templates as T
 from ..functions.dialects import fan_out
 from ..operators import detect as D
 from ..operators.catalogue import as_export_rows
-from ..operators.curate import catalogue_layout, create_tools, curate, curate_viewer, with_status
+from ..operators.curate import SUCCESS, catalogue_layout, create_tools, curate, curate_viewer, with_status
 from ..operators.mining import best_per_template, bind, literal_domains, own_bindings, score_histogram, template_support
+from ..operators.nearest import build_vectors, nearest, probes_for
 from ..operators.normalize import (
     datasets_clean,
     normalize,
@@ -25,17 +26,19 @@ from ..operators.normalize import (
 )
 from ..operators.numbering import number_tools, split_batch
 from ..operators.report import dataset_profile, label_distribution, run_result, run_statistics
+from ..operators.retrieve import build_index, search
 from ..operators.search import preview, record_preview, search_catalogue, search_datasets, tool_details
-from ..session import spread, work_folder
+from ..session import work_folder
 from ..sources.corpus import corpus_from_lines
 from ..sources.sinks import catalogue_yaml, load_catalogue, settings_of, summary_text, upsert_catalogue
 from ..streaming.jobs import deduplicated, status_counts, write_counts
-from .corpora import event_lines, event_records, odd_lines, order_records, scan
+from .corpora import dealt, event_lines, event_records, odd_lines, order_records, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 COMPAT_CFG, CLEAN_CFG = CurationConfig(), CurationConfig(mode=CLEAN)
 BATCH = 400
+TOP = 10
 QUOTED = ["literal"]  # kinds of parameters that stand in quotes
 
 
@@ -125,7 +128,7 @@ def quality_scores(cfg: CurationConfig) -> Query:
 
 def question_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Description score of whole document texts."""
-    docs = spread(scan(spark, sf, "documents"))
+    docs = dealt(scan(spark, sf, "documents"))
     return docs.select("doc_id", Q.description_score(F.col("text")).alias("score"))
 
 
@@ -212,6 +215,11 @@ def catalogue_search(spark: SparkSession, sf: str) -> DataFrame:
     return search_catalogue(_viewer_tools(spark, sf), "Group")
 
 
+def catalogue_search_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A text that only the shown parameter count has."""
+    return search_catalogue(_viewer_tools(spark, sf), "3 PARAM")
+
+
 def catalogue_preview(spark: SparkSession, sf: str) -> DataFrame:
     return preview(_viewer_tools(spark, sf))
 
@@ -221,7 +229,7 @@ def details(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dataset_preview(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(scan(spark, sf, "documents")).withColumnRenamed("doc_id", "ord")
+    docs = dealt(scan(spark, sf, "documents")).withColumnRenamed("doc_id", "ord")
     return record_preview(docs, ["text", "lang", "source", "n_chars"])
 
 
@@ -255,7 +263,7 @@ def field_scores(spark: SparkSession, sf: str) -> DataFrame:
 def field_detection(spark: SparkSession, sf: str) -> DataFrame:
     """The detected fields of three tables: all records, first record only, and conversations."""
     events = event_records(spark, sf)
-    talk = spread(scan(spark, sf, "conversations")).withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    talk = dealt(scan(spark, sf, "conversations")).withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
     runs = [
         ("events", D.detect_fields(events)),
         ("first_event", D.detect_fields(events, sample="first")),
@@ -270,8 +278,8 @@ def field_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_field_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Both field scores of every document text and every conversation turn."""
-    docs = spread(scan(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    talk = spread(scan(spark, sf, "conversations")).select(
+    docs = dealt(scan(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    talk = dealt(scan(spark, sf, "conversations")).select(
         F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), "text"
     )
     name, value = F.lit("text"), F.col("text")
@@ -315,7 +323,7 @@ def dataset_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(scan(spark, sf, "documents")).select("doc_id", L.slug(F.col("text")).alias("slug"))
+    return dealt(scan(spark, sf, "documents")).select("doc_id", L.slug(F.col("text")).alias("slug"))
 
 
 def datasets_top20(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,6 +393,42 @@ def bind_templates(spark: SparkSession, sf: str) -> DataFrame:
     return bound.select("ord", "bound", F.array_join("missing", ",").alias("missing"))
 
 
+def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best tools of the orders catalogue for the question of each event record."""
+    tools = curate(order_records(spark, sf)).filter(F.col("status") == SUCCESS)
+    index = work_folder(spark, "tool-index")
+    build_index(tools.select("ord", F.concat_ws(" ", "question", "description").alias("text")), index, "ord", "text")
+    found = search(spark, index, _events(spark, sf).select("ord", "question"), TOP, "ord")
+    return found.withColumnRenamed("id", "tool_ord")
+
+
+def retrieve_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents that have most in common with each benchmark text."""
+    index = work_folder(spark, "document-index")
+    build_index(scan(spark, sf, "documents"), index, "doc_id", "text")
+    return search(spark, index, scan(spark, sf, "benchmark"), TOP, "item_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _vector_index(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The index over all vectors, and as queries those whose id is divisible by 20."""
+    vectors, index = scan(spark, sf, "embeddings"), work_folder(spark, "vector-index")
+    build_vectors(vectors, index)
+    return index, vectors.filter(F.col("vec_id") % 20 == 0)
+
+
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    index, asked = _vector_index(spark, sf)
+    return nearest(spark, index, asked, TOP)
+
+
+def nearest_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a probed search finds nine tenths of what the exact one does."""
+    index, asked = _vector_index(spark, sf)
+    exact, probed = nearest(spark, index, asked, TOP), nearest(spark, index, asked, TOP, probes=probes_for(spark, index, asked, TOP))
+    hit = exact.select("vec_id", "id").join(probed.select("vec_id", "id", F.lit(1).alias("found")), ["vec_id", "id"], "left")
+    return hit.agg(F.count_distinct("vec_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 QUERIES: dict[str, Query] = {
     "corpus_normalize": corpus_normalize,
     "corpus_rejects": corpus_rejects,
@@ -432,6 +476,7 @@ QUERIES: dict[str, Query] = {
     "catalogue_identity": catalogue_identity,
     "catalogue_yaml": catalogue_yaml_blocks,
     "catalogue_search": catalogue_search,
+    "catalogue_search_counts": catalogue_search_counts,
     "catalogue_preview": catalogue_preview,
     "tool_details": details,
     "dataset_preview": dataset_preview,
@@ -460,4 +505,8 @@ QUERIES: dict[str, Query] = {
     "score_histogram": histogram(COMPAT_CFG),
     "score_histogram_clean": histogram(CLEAN_CFG),
     "bind_templates": bind_templates,
+    "retrieve_topk": retrieve_topk,
+    "retrieve_documents": retrieve_documents,
+    "nearest_vectors": nearest_vectors,
+    "nearest_recall": nearest_recall,
 }

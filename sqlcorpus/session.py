@@ -59,16 +59,3 @@ def work_folder(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="sqlcorpus-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def spread(df, min_partitions: int | None = None):
-    """Give a scan that yields fewer splits than the cluster has slots more tasks.
-
-    Big inputs already have many splits and pass through without a shuffle; a
-    small single-split file would otherwise keep all expression work in one task.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
