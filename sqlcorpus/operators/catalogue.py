@@ -1,8 +1,7 @@
 """The catalogue: one tool per identity, the last value wins, the first position stays.
 
-A catalogue row carries ``first_run``/``first_ord`` (its position) and ``last_run``.
-Runs are merged into a new snapshot; the old one stays readable, and a snapshot is
-published by writing its name, so a lost executor or a failed job changes nothing.
+A catalogue row carries ``first_run``/``first_ord`` (its position) and ``last_run``, so rows
+of any runs merge in one aggregate, in any order and however often.
 """
 
 from __future__ import annotations
@@ -22,27 +21,35 @@ def last_per_key(tools: DataFrame, key: str = "tool_id") -> DataFrame:
     one row per key whatever the order is worth.
     """
     values = [c for c in tools.columns if c not in (key, "ord")]
-    last = F.max_by(F.struct("ord", *values), F.struct("ord", F.xxhash64(*[F.to_json(F.struct(c)) for c in values])))
+    last = F.max_by(F.struct("ord", *values), F.struct("ord", F.xxhash64(*values)))
     ends = tools.groupBy(key).agg(last.alias("last"), F.min("ord").alias("first_ord"))
     return ends.select(key, "last.*", "first_ord")
 
 
-def merge_catalogue(existing: DataFrame | None, tools: DataFrame, run: int) -> DataFrame:
-    """Existing catalogue with the tools of a run put in (their columns must agree).
+def new_tools(tools: DataFrame, run: int) -> DataFrame:
+    """The tools of a run as catalogue rows, one for each identity (``tool_key`` where there is no ``tool_id``)."""
+    new = last_per_key(tools, _key(tools)).drop("ord").withColumn("last_run", F.lit(run)).withColumn("first_run", F.lit(run))
+    return new.select(*_columns(new))
 
-    A tool is the same if its ``tool_id`` is (``tool_key`` where there is no such column).
-    """
-    key = "tool_id" if "tool_id" in tools.columns else "tool_key"
-    new = last_per_key(tools, key).drop("ord").withColumn("last_run", F.lit(run)).withColumn("first_run", F.lit(run))
-    new = new.select(*_columns(new))
-    if existing is None:
-        return new
-    both = existing.select(*_columns(new)).unionByName(new)
-    values = [c for c in both.columns if c not in (key, *_BOOKKEEPING)]
-    merged = both.groupBy(key).agg(
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Catalogue rows of several runs as one catalogue: the value of the last run, the first position."""
+    key = _key(rows)
+    values = [c for c in rows.columns if c not in (key, *_BOOKKEEPING)]
+    one = rows.groupBy(key).agg(
         F.max_by(F.struct(*values), "last_run").alias("v"), F.min(F.struct(*POSITION)).alias("p"), F.max("last_run").alias("last_run")
     )
-    return merged.select(key, "v.*", "p.*", "last_run").select(*_columns(new))
+    return one.select(key, "v.*", "p.*", "last_run").select(*_columns(rows))
+
+
+def merge_catalogue(existing: DataFrame | None, tools: DataFrame, run: int) -> DataFrame:
+    """Existing catalogue with the tools of a run put in (their columns must agree)."""
+    new = new_tools(tools, run)
+    return new if existing is None else merged(existing.select(*new.columns).unionByName(new))
+
+
+def _key(rows: DataFrame) -> str:
+    return "tool_id" if "tool_id" in rows.columns else "tool_key"
 
 
 def _columns(new: DataFrame) -> list[str]:
@@ -60,7 +67,7 @@ def display_keys(catalogue: DataFrame) -> DataFrame:
 
 def in_order(catalogue: DataFrame) -> DataFrame:
     """Rows in catalogue order (a range-partitioned sort)."""
-    return catalogue.orderBy(*POSITION)
+    return catalogue.orderBy(*POSITION, "tool_key")
 
 
 def as_export_rows(viewer: DataFrame) -> DataFrame:

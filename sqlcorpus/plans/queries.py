@@ -30,7 +30,8 @@ from ..operators.retrieve import build_index, search
 from ..operators.search import preview, record_preview, search_catalogue, search_datasets, tool_details
 from ..session import work_folder
 from ..sources.corpus import corpus_from_lines
-from ..sources.sinks import catalogue_yaml, load_catalogue, settings_of, summary_text, upsert_catalogue
+from ..sources.sinks import catalogue_yaml, settings_of, summary_text
+from ..sources.store import load_catalogue, upsert_catalogue
 from ..streaming.jobs import deduplicated, status_counts, write_counts
 from .corpora import dealt, event_lines, event_records, odd_lines, order_records, scan
 

@@ -7,12 +7,14 @@ sinks sort by range, and their part files read in name order give the order.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CurationConfig, dialect_of
-from ..operators.catalogue import as_export_rows, display_keys, in_order, merge_catalogue
+from ..operators.catalogue import POSITION, as_export_rows, display_keys, in_order
 
 # The layout of a text summary; (line, setting, default).
 SUMMARY = """Processing Results:
@@ -60,71 +62,6 @@ def dialect_path(base: str, dialect: str) -> str:
     return f"{stem}_{name}.{ext}" if dot and "/" not in ext else f"{base}_{name}"
 
 
-# --- catalogue snapshots -------------------------------------------------------
-
-_SNAPSHOT = re.compile(r"snapshot=(\d+)$")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def snapshots(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete snapshots below a catalogue folder."""
-    fs, p, jvm = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for s in fs.listStatus(p):
-        hit = _SNAPSHOT.search(s.getPath().toString())
-        if hit and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            out.append(int(hit.group(1)))
-    return sorted(out)
-
-
-def load_catalogue(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete snapshot, or None."""
-    have = snapshots(spark, path)
-    return spark.read.parquet(f"{path}/snapshot={have[-1]}") if have else None
-
-
-def _holds(spark: SparkSession, path: str, batch: str) -> int | None:
-    """The complete snapshot that a batch was merged into, if there is one."""
-    fs, _, jvm = _fs(spark, path)
-    for n in reversed(snapshots(spark, path)):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={n}/_batch-{batch}")):
-            return n
-    return None
-
-
-def upsert_catalogue(spark: SparkSession, tools: DataFrame, path: str, run: int | None = None, batch: str | None = None) -> int:
-    """Merge a run's tools into a catalogue folder as a new snapshot; returns its number.
-
-    The current snapshot is only read. A snapshot counts once its ``_SUCCESS`` file is there, so
-    a failed run leaves the catalogue as it was. Without a ``run`` the number follows the newest
-    snapshot; a ``run`` of its own may repeat the newest snapshot, never one with successors.
-    ``batch`` names the micro-batch: its mark is in the snapshot before the rows are, and a batch
-    that some snapshot holds already changes nothing.
-    """
-    if batch is not None and (held := _holds(spark, path, batch)) is not None:
-        return held
-    have = snapshots(spark, path)
-    run = (have[-1] + 1 if have else 1) if run is None else run
-    if have and run < have[-1]:
-        raise ValueError(f"snapshot {run} would come before snapshot {have[-1]}, which is there")
-    base = [n for n in have if n < run]
-    existing = spark.read.parquet(f"{path}/snapshot={base[-1]}") if base else None
-    target = f"{path}/snapshot={run}"
-    fs, _, jvm = _fs(spark, path)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(target), True)  # of a failed run, or of the run that is repeated
-    if batch is not None:
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{target}/_batch-{batch}"), True).close()
-    merge_catalogue(existing, tools, run).write.mode("append").parquet(target)
-    return run
-
-
 # --- exports ---------------------------------------------------------------------
 
 
@@ -149,8 +86,8 @@ def yaml_block(fields: list[tuple[str, Column]], params_name: str, params: Colum
     return F.array_join(F.array(*lines), "\n")
 
 
-def catalogue_yaml(catalogue: DataFrame) -> DataFrame:
-    """A text column with one YAML block per tool, in catalogue order."""
+def catalogue_yaml(catalogue: DataFrame, *position: Column) -> DataFrame:
+    """A text column with one YAML block per tool, in catalogue order, and what else is asked for."""
     names = catalogue.columns
     params = "templateParameters" if "templateParameters" in names else "parameters"
     order = ["kind", "source", "statement", "description", "sql"] if params == "templateParameters" else ["description", "sql"]
@@ -159,7 +96,7 @@ def catalogue_yaml(catalogue: DataFrame) -> DataFrame:
         fields += [("quality_score", F.col("quality_score").cast("string"))]
         fields += [(n, _json_scalar(F.col(n))) for n in ("labels", "db_id", "source") if n in names]
     block = yaml_block(fields, params, F.col(params))
-    return in_order(display_keys(catalogue)).select(block.alias("value"))
+    return in_order(display_keys(catalogue)).select(block.alias("value"), *position)
 
 
 def write_catalogue_yaml(catalogue: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -167,16 +104,16 @@ def write_catalogue_yaml(catalogue: DataFrame, path: str, mode: str = "errorifex
 
     An empty catalogue gives one part with an empty mapping.
     """
-    blocks = catalogue_yaml(catalogue)
     if catalogue.isEmpty():
         spark = catalogue.sparkSession
         spark.createDataFrame([("tools: {}",)], "value string").coalesce(1).write.mode(mode).text(path)
         return
-    part = F.spark_partition_id()
-    first = F.monotonically_increasing_id() == 0
-    # the first block of the first non-empty part carries the heading
-    head = F.when(first & (part == 0), F.concat(F.lit("tools:\n"), F.col("value"))).otherwise(F.col("value"))
-    blocks.select(head.alias("value")).write.mode(mode).text(path)
+    # the first tool carries the heading, in whichever part the sort puts it
+    place = F.struct(*POSITION, "tool_key")
+    start = display_keys(catalogue).agg(F.min(place).alias("p")).first().p
+    first = reduce(and_, [F.col(c) == F.lit(v) for c, v in zip((*POSITION, "tool_key"), start, strict=True)])
+    head = F.when(F.col("first"), F.concat(F.lit("tools:\n"), F.col("value"))).otherwise(F.col("value"))
+    catalogue_yaml(catalogue, first.alias("first")).select(head.alias("value")).write.mode(mode).text(path)
 
 
 def write_catalogue_json(catalogue: DataFrame, path: str, mode: str = "errorifexists") -> None:

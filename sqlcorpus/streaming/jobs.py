@@ -16,7 +16,7 @@ from ..config import CurationConfig
 from ..operators.curate import catalogue_layout, curate, with_status
 from ..operators.normalize import normalize
 from ..sources.corpus import corpus_from_lines
-from ..sources.sinks import upsert_catalogue
+from ..sources.store import upsert_catalogue
 
 
 def curate_stream(
@@ -28,9 +28,8 @@ def curate_stream(
 ) -> StreamingQuery:
     """Stream JSON lines (``ord``, ``value``) into a catalogue folder.
 
-    Each micro-batch becomes the next snapshot, whatever the folder holds already. It is marked
-    with the stream's checkpoint and its number, so a batch that is run again after a failure
-    adds nothing.
+    Each micro-batch becomes the next run, whatever the folder holds already. Its manifest names
+    the stream's checkpoint and its number, so a batch that is run again after a failure adds nothing.
     """
     stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 

@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 import yaml
@@ -13,7 +14,7 @@ from sqlcorpus.operators.catalogue import in_order, merge_catalogue
 from sqlcorpus.operators.curate import catalogue_layout, curate, curate_viewer
 from sqlcorpus.operators.normalize import normalize, profile_for
 from sqlcorpus.operators.numbering import number_rows, number_tools, split_batch
-from sqlcorpus.sources import sinks
+from sqlcorpus.sources import sinks, store
 from sqlcorpus.sources.corpus import read_corpus, read_dump, read_lines
 from sqlcorpus.streaming.jobs import curate_stream
 
@@ -49,11 +50,11 @@ def test_read_corpus_and_positions(spark, tmp_path):
 def test_catalogue_round_trip(spark, tmp_path):
     records, _ = read_corpus(spark, corpus_files(tmp_path), position="dense")
     tools = catalogue_layout(curate(normalize(records)))
-    store = str(tmp_path / "cat")
-    assert sinks.load_catalogue(spark, store) is None
-    assert sinks.upsert_catalogue(spark, tools, store) == 1
-    assert sinks.upsert_catalogue(spark, tools, store) == 2
-    cat = sinks.load_catalogue(spark, store)
+    home = str(tmp_path / "cat")
+    assert store.load_catalogue(spark, home) is None
+    assert store.upsert_catalogue(spark, tools, home) == 1
+    assert store.upsert_catalogue(spark, tools, home) == 2
+    cat = store.load_catalogue(spark, home)
     assert cat.count() == 2 and {r.first_run for r in cat.collect()} == {1}
 
     sinks.write_catalogue_yaml(cat, str(tmp_path / "y"))
@@ -102,6 +103,22 @@ def test_numbers_are_dense_and_global(spark):
     assert batch.agg(F.max("ord")).first()[0] < rest.agg(F.min("ord")).first()[0]
 
 
+def test_numbers_follow_a_hashed_order(spark, monkeypatch):
+    """Small ranges over hashed, partly missing orders: the numbers are those of a sort of all rows."""
+    from sqlcorpus.operators import numbering
+
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 40)
+    df = spark.range(3000).select("id", F.xxhash64("id").alias("ord")).repartition(6)
+    want = {r.id: k for k, r in enumerate(sorted(df.collect(), key=lambda r: r.ord), 1)}
+    assert {r.id: r.n for r in number_rows(df).collect()} == want
+    for size in (1, 40, 1234, 2999, 3000, 5000):
+        batch, rest = split_batch(df, size)
+        assert {want[r.id] for r in batch.collect()} == set(range(1, min(size, 3000) + 1)) and rest.count() == max(0, 3000 - size)
+    gaps = spark.createDataFrame([(None, "a"), (5, "b"), (-7, "c")], "ord long, v string")
+    assert [r.v for r in number_rows(gaps).orderBy("n").collect()] == ["a", "c", "b"]
+    assert number_rows(gaps.limit(0)).count() == 0 and split_batch(gaps.limit(0), 3)[0].count() == 0
+
+
 def test_dumps_profiles_and_paths(spark, tmp_path):
     spark.createDataFrame([("q", "train"), ("r", "test")], "question string, split string").write.parquet(str(tmp_path / "d"))
     assert [r.question for r in read_dump(spark, str(tmp_path / "d"), split="test").collect()] == ["r"]
@@ -120,8 +137,8 @@ def test_stream_equals_batch(spark, tmp_path):
     curate_stream(stream, str(tmp_path / "cat"), str(tmp_path / "cp")).awaitTermination()
     records, _ = read_corpus(spark, path)
     want = {r.tool_key for r in catalogue_layout(curate(normalize(records))).collect()}
-    assert {r.tool_key for r in sinks.load_catalogue(spark, str(tmp_path / "cat")).collect()} == want
-    assert sinks.snapshots(spark, str(tmp_path / "cat")) == [1, 2, 3]
+    assert {r.tool_key for r in store.load_catalogue(spark, str(tmp_path / "cat")).collect()} == want
+    assert store.snapshots(spark, str(tmp_path / "cat")) == [1, 2, 3]
 
 
 def test_result_does_not_depend_on_partitions(spark, tmp_path):
@@ -140,17 +157,17 @@ def test_equal_positions_give_one_row_per_key(spark):
 
 def test_stream_goes_on_with_an_existing_catalogue(spark, tmp_path):
     records, _ = read_corpus(spark, corpus_files(tmp_path, copies=3))
-    tools, store = catalogue_layout(curate(normalize(records))), str(tmp_path / "cat")
+    tools, home = catalogue_layout(curate(normalize(records))), str(tmp_path / "cat")
     for _ in range(3):
-        sinks.upsert_catalogue(spark, tools.limit(1), store)
-    assert sinks.upsert_catalogue(spark, tools, store, batch="s-0") == 4
+        store.upsert_catalogue(spark, tools.limit(1), home)
+    assert store.upsert_catalogue(spark, tools, home, batch="s-0") == 4
     want = {r.tool_id for r in tools.collect()}
-    assert {r.tool_id for r in sinks.load_catalogue(spark, store).collect()} == want
-    assert sinks.upsert_catalogue(spark, tools, store, batch="s-1") == 5
-    assert sinks.upsert_catalogue(spark, tools.limit(0), store, batch="s-0") == 4  # the repeated batch adds nothing
-    assert sinks.snapshots(spark, store) == [1, 2, 3, 4, 5]
+    assert {r.tool_id for r in store.load_catalogue(spark, home).collect()} == want
+    assert store.upsert_catalogue(spark, tools, home, batch="s-1") == 5
+    assert store.upsert_catalogue(spark, tools.limit(0), home, batch="s-0") == 4  # the repeated batch adds nothing
+    assert store.snapshots(spark, home) == [1, 2, 3, 4, 5]
     with pytest.raises(ValueError):
-        sinks.upsert_catalogue(spark, tools, store, run=2)
+        store.upsert_catalogue(spark, tools, home, run=2)
 
 
 def test_names_that_clash_are_lengthened(spark):
@@ -167,3 +184,64 @@ def test_detected_fields_fall_back_record_by_record(spark):
     rows = [(1, "q1", None, "SELECT 1"), (2, None, "q2", "SELECT 2")]
     df = spark.createDataFrame(rows, "ord long, question string, nl string, sql string")
     assert [r.question for r in normalize_detected(df, "question", "sql").orderBy("ord").collect()] == ["q1", "q2"]
+
+
+def _tools(spark, rows):
+    return spark.createDataFrame(rows, "tool_id string, tool_key string, ord long, statement string")
+
+
+def _found(df):
+    return sorted((r.tool_id, r.statement, r.first_run, r.first_ord, r.last_run) for r in df.collect())
+
+
+def test_runs_write_their_own_tools_only(spark, tmp_path):
+    """Twenty runs on a catalogue: each writes as much as itself, readers see the merge, compaction changes nothing."""
+    home, seen = str(tmp_path / "cat"), None
+    rows = [(f"id{k}", f"k{k}", k, "first") for k in range(400)]
+    store.upsert_catalogue(spark, _tools(spark, rows), home)
+    size = lambda f: sum(os.path.getsize(os.path.join(d, x)) for d, _, xs in os.walk(f) for x in xs)
+    whole = size(home)
+    for n in range(2, 6):
+        store.upsert_catalogue(spark, _tools(spark, [(f"id{n}", f"k{n}", 0, f"run {n}"), (f"new{n}", "k", 7, "new")]), home, compact_after=100)
+    deltas = {f: size(f"{home}/{f}") for f in os.listdir(home) if f.startswith("delta-") and not f.startswith("delta-1-")}
+    assert len(deltas) == 4 and max(deltas.values()) < whole / 2
+    seen = _found(store.load_catalogue(spark, home))
+    assert len(seen) == 404 and ("id3", "run 3", 1, 3, 3) in seen and ("new5", "new", 5, 7, 5) in seen
+    assert len(_found(store.load_catalogue(spark, home, 3))) == 402 and store.load_catalogue(spark, home, 9) is None
+    store.compact_catalogue(spark, home)
+    assert _found(store.load_catalogue(spark, home)) == seen
+    gone = store.vacuum_catalogue(spark, home)
+    assert len(gone) == 5 and _found(store.load_catalogue(spark, home)) == seen and store.snapshots(spark, home) == [5]
+    store.upsert_catalogue(spark, _tools(spark, [("id1", "k1", 0, "again")]), home, compact_after=1)
+    assert sum(f.startswith("base-") for f in os.listdir(home)) == 2 and ("id1", "again", 1, 1, 6) in _found(store.load_catalogue(spark, home))
+
+
+def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    home = str(tmp_path / "cat")
+    store.upsert_catalogue(spark, _tools(spark, [("a", "a", 1, "1")]), home)
+    before = _found(store.load_catalogue(spark, home))
+
+    def crash(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store._Folder, "commit", crash)
+        with pytest.raises(OSError):
+            store.upsert_catalogue(spark, _tools(spark, [("a", "a", 1, "2"), ("b", "b", 2, "2")]), home, batch="s-3")
+    assert len([f for f in os.listdir(home) if f.startswith("delta-")]) == 2
+    assert _found(store.load_catalogue(spark, home)) == before and store.snapshots(spark, home) == [1]
+    assert store.upsert_catalogue(spark, _tools(spark, [("b", "b", 2, "3")]), home, batch="s-3") == 2
+    assert _found(store.load_catalogue(spark, home)) == [("a", "1", 1, 1, 1), ("b", "3", 2, 2, 2)]
+    assert len(store.vacuum_catalogue(spark, home)) == 1
+    # the newest run may be written again: its earlier delta no longer counts
+    assert store.upsert_catalogue(spark, _tools(spark, [("c", "c", 1, "4")]), home, run=2) == 2
+
+
+def test_yaml_heading_stands_before_the_first_tool(spark, tmp_path):
+    """Positions that leave the first parts of the sort empty."""
+    rows = [(f"id{k}", f"k{k}", k, "x", 1, k, 1) for k in range(30)]
+    cat = spark.createDataFrame(rows, "tool_id string, tool_key string, ord long, sql string, first_run int, first_ord long, last_run int")
+    cat = cat.drop("ord").withColumn("parameters", F.expr("cast(array() as array<struct<name: string, type: string, description: string>>)"))
+    cat = cat.withColumns({"description": F.lit("d"), "quality_score": F.lit(1.0)})
+    sinks.write_catalogue_yaml(cat, str(tmp_path / "y"))
+    assert list(yaml.safe_load("".join(parts(tmp_path / "y")))["tools"]) == [f"k{k}" for k in range(30)]
