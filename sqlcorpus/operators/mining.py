@@ -64,6 +64,14 @@ def score_histogram(curated: DataFrame, step: int = STEP) -> DataFrame:
     return bars.withColumn("share_upto", upto)
 
 
+def score_percentiles(curated: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.99), stem: str = "p") -> DataFrame:
+    """One row: records and exact percentiles of the score, ``p50`` and so on (``stem`` other than p: numbered)."""
+    names = [f"p{round(100 * s)}" if stem == "p" else f"{stem}{i}" for i, s in enumerate(shares)]
+    counted = curated.groupBy("score").agg(F.count("*").alias("n"))  # combined on the map side: a row for each score
+    each = [F.expr(f"percentile(score, {float(s)!r}, n)").alias(c) for s, c in zip(shares, names, strict=True)]
+    return counted.agg(F.sum("n").alias("records"), *each).select(*([] if stem != "p" else ["records"]), *names)
+
+
 def own_bindings(params: Column, quoted: list[str]) -> Column:
     """The literals that a template was made from, by name; those of the kinds ``quoted`` in single quotes."""
     value = lambda p: F.when(p["kind"].isin(quoted), F.concat(F.lit("'"), p["example"], F.lit("'"))).otherwise(p["example"])

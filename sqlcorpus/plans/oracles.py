@@ -9,7 +9,7 @@ plain SQL arithmetic.
 from __future__ import annotations
 
 from .corpora import BROKEN_LINE, EVENT_SHAPES, ODD_LINES, ORDER_SHAPES
-from .queries import BATCH, TOP
+from .queries import BATCH, SHARES, TOP
 
 # --- expected templates, per shape ------------------------------------------------
 # (compat statement, names; clean statement, names); None means as in compat.
@@ -938,7 +938,7 @@ def oracle_sql() -> dict[str, str]:
             "WITH b AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c-' || conv_id || '-' || turn, text FROM conversations) "
             f"SELECT id, CAST({field_points("'text'", 'text')[0]} AS BIGINT) AS sql_score, CAST({field_points("'text'", 'text')[1]} AS BIGINT) AS question_score FROM b"
         ),
-        "profile_normalize": chosen_sql(["question"], ["query"], ["db_id"]),
+        "profile_normalize": chosen_sql(["question"], ["query", "gold_sql", "sql"], ["db_id"]),
         "profile_normalize_renamed": O + "SELECT ord, question, sql, db_id, 'huggingface' AS source FROM od",
         # prompt has the best mean question score; records without it are read by the usual names
         "detected_normalize": chosen_sql(["prompt", "question", "query", "nl", "instruction", "text"], _SF, ["db_id", "db", "schema"]),
@@ -977,6 +977,29 @@ def oracle_sql() -> dict[str, str]:
             "min(ord) AS first_ord, max(ord) AS last_ord, arg_min(question, ord) AS example FROM od GROUP BY st"
         ),
         "literal_domains": domains_sql(),
+        "validity": E + f", {statused('ev', False, low=0)} SELECT ord, reason = '' AS is_valid, reason FROM vs",
+        "corpus_round_trip": O + "SELECT ord, question, sql, db_id, source FROM od WHERE ord % 4 = 0",
+        "catalogue_json": (
+            O + f", {statused('od', False)}, nm AS (SELECT *, {name_sql('st', False)} AS tool_name, {sentence_sql('st', 'names')} AS text, {pairs_sql()} AS pairs FROM vs WHERE status = 'success'), "
+            f"ky AS (SELECT *, {key_sql(4)} AS short_key, {id_sql()} AS tool_id, row_number() OVER (PARTITION BY tool_name, sql, question ORDER BY ord DESC) AS rn FROM nm), "
+            "lst AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY short_key) > 1 THEN short_key || '_' || substr(tool_id, 1, 16) ELSE short_key END AS tool_key FROM ky WHERE rn = 1) "
+            "SELECT tool_key, 'mysql-sql' AS kind, 'mysql' AS source, st AS statement, text AS description, pairs AS \"templateParameters\" FROM lst"
+        ),
+        "dialect_store": (
+            f"SELECT * FROM ({fan_out_sql(True)}) WHERE dialect = 'sqlite' UNION ALL SELECT * FROM ({fan_out_sql(False)}) WHERE dialect = 'postgres'"
+        ),
+        "stream_catalogue": (
+            f"WITH {both_runs_sql()}, w AS (SELECT *, row_number() OVER (PARTITION BY tool_name, sql, question ORDER BY ord DESC) AS last, "
+            "min(ord) OVER (PARTITION BY tool_name, sql, question) AS first_ord FROM al WHERE run = 1) SELECT tool_key, statement, first_ord FROM w WHERE last = 1"
+        ),
+        "support_across_runs": (
+            O + "SELECT st AS statement, count(*) AS uses, min(ord) AS first_ord, max(ord) AS last_ord, true AS questions_close, true AS databases_close FROM od GROUP BY st"
+        ),
+        "literals_across_runs": f"SELECT statement, pos, name, uses, least, most, true AS literals_close FROM ({domains_sql()})",
+        "score_percentiles": (
+            O + f", {statused('od', False)} SELECT count(*) AS records, " + ", ".join(f"quantile_cont(CAST(score AS DOUBLE), {s}) AS p{round(100 * s)}" for s in SHARES)
+            + ", true AS sketch_near FROM vs"
+        ),
         "nearest_vectors": (
             "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / 1e-6) AS BIGINT)) AS v FROM embeddings), "
             "d AS (SELECT a.vec_id, b.vec_id AS id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance "

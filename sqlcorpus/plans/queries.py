@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ from ..functions import templates as T
 from ..functions.dialects import fan_out
 from ..operators import detect as D
 from ..operators.catalogue import as_export_rows
-from ..operators.curate import SUCCESS, catalogue_layout, create_tools, curate, curate_viewer, with_status
-from ..operators.mining import best_per_template, bind, literal_domains, own_bindings, score_histogram, template_support
+from ..operators.curate import SUCCESS, catalogue_layout, create_tools, curate, curate_viewer, validate, with_status
+from ..operators.mining import best_per_template, bind, literal_domains, own_bindings, score_histogram, score_percentiles, template_support
 from ..operators.nearest import build_vectors, nearest, probes_for
 from ..operators.normalize import (
     datasets_clean,
@@ -28,11 +30,19 @@ from ..operators.numbering import number_tools, split_batch
 from ..operators.report import dataset_profile, label_distribution, run_result, run_statistics
 from ..operators.retrieve import build_index, search
 from ..operators.search import preview, record_preview, search_catalogue, search_datasets, tool_details
+from ..operators.sketches import (
+    literal_estimates,
+    literal_sketches,
+    merge_literal_sketches,
+    merge_template_sketches,
+    template_estimates,
+    template_sketches,
+)
 from ..session import work_folder
-from ..sources.corpus import corpus_from_lines
-from ..sources.sinks import catalogue_yaml, settings_of, summary_text
+from ..sources.corpus import corpus_from_lines, read_dump, read_dump_stream
+from ..sources.sinks import catalogue_yaml, read_dialect, rewrite_dialects, settings_of, summary_text, write_catalogue_json, write_corpus, write_dialects
 from ..sources.store import load_catalogue, upsert_catalogue
-from ..streaming.jobs import deduplicated, status_counts, write_counts
+from ..streaming.jobs import curate_stream, deduplicated, status_counts, write_counts
 from .corpora import dealt, event_lines, event_records, odd_lines, order_records, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +50,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 COMPAT_CFG, CLEAN_CFG = CurationConfig(), CurationConfig(mode=CLEAN)
 BATCH = 400
 TOP = 10
+SHARES = (0.5, 0.9, 0.99)
 QUOTED = ["literal"]  # kinds of parameters that stand in quotes
 
 
@@ -291,8 +302,91 @@ def text_field_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def validity(spark: SparkSession, sf: str) -> DataFrame:
+    """Which templates any early rule turns down, whatever their score."""
+    checked = validate(T.extract_templates(_events(spark, sf)), COMPAT_CFG, min_score=0)
+    return checked.select("ord", "is_valid", "reason")
+
+
+def corpus_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Order records written as JSON lines; one split of them is read back as a dump."""
+    path = work_folder(spark, "corpus")
+    split = F.when(F.col("ord") % 4 == 0, "test").otherwise("train")
+    write_corpus(order_records(spark, sf).withColumn("split", split), path)
+    return read_dump(spark, path, "json", "test").select("ord", "question", "sql", "db_id", "source")
+
+
+def catalogue_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue written as JSON lines and read back."""
+    path = work_folder(spark, "catalogue")
+    upsert_catalogue(spark, catalogue_layout(curate(order_records(spark, sf))), path)
+    write_catalogue_json(load_catalogue(spark, path), f"{path}-json")
+    rows = spark.read.json(f"{path}-json")
+    return rows.select("tool_key", "kind", "source", "statement", "description", _pairs(F.col("templateParameters")).alias("templateParameters"))
+
+
+def dialect_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Templates by dialect in a folder; SQLite's are then written anew in clean mode, and two dialects read back."""
+    path = work_folder(spark, "dialects")
+    templates = lambda cfg: T.extract_templates(order_records(spark, sf), cfg).select("ord", "statement")
+    write_dialects(fan_out(templates(COMPAT_CFG)), path)
+    rewrite_dialects(fan_out(templates(CLEAN_CFG), ("sqlite",), CLEAN_CFG), path)
+    return read_dialect(spark, path, "sqlite").unionByName(read_dialect(spark, path, "postgresql"))
+
+
+def stream_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of JSON files into a catalogue, stopped and started again after half of the records."""
+    home = work_folder(spark, "stream-catalogue")
+    lines = event_lines(spark, sf).select("ord", "value")
+    middle = lines.agg((F.max("ord") / 2).cast("long")).first()[0]
+    for half in (F.col("ord") <= middle, F.col("ord") > middle):
+        write_corpus(lines.filter(half), f"{home}/in", mode="append")
+        stream = read_dump_stream(spark, f"{home}/in", "ord long, value string")
+        curate_stream(stream, f"{home}/catalogue", f"{home}/checkpoint").awaitTermination()
+    return load_catalogue(spark, f"{home}/catalogue").select("tool_key", "statement", "first_ord")
+
+
+def _two_runs(spark: SparkSession, sf: str, make: Callable[[DataFrame, int], DataFrame], df: DataFrame) -> DataFrame:
+    """Sketches of two runs over the odd and the even records, stored and read back."""
+    path = work_folder(spark, "sketches")
+    for run in (0, 1):
+        make(df.filter(F.pmod("ord", F.lit(2)) == run), run).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def support_across_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Template support from merged sketches, and whether it is within 3 % of the exact counts."""
+    df = with_status(order_records(spark, sf))
+    found = template_estimates(merge_template_sketches(_two_runs(spark, sf, template_sketches, df)))
+    exact = template_support(df).select("statement", F.col("questions").alias("q"), F.col("databases").alias("d"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b) + 0.5
+    return found.join(exact, "statement").select("statement", "uses", "first_ord", "last_ord", close("questions", "q").alias("questions_close"), close("databases", "d").alias("databases_close"))
+
+
+def literals_across_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Literal domains from merged sketches, and whether distinct literals are within 3 % of the exact count."""
+    df = T.extract_templates(order_records(spark, sf))
+    found = literal_estimates(merge_literal_sketches(_two_runs(spark, sf, literal_sketches, df)), 1)
+    exact = literal_domains(df).select("statement", "pos", "name", F.col("literals").alias("n"))
+    close = F.abs(F.col("literals") - F.col("n")) <= 0.03 * F.col("n") + 0.5
+    return found.join(exact, ["statement", "pos", "name"]).select("statement", "pos", "name", "uses", "least", "most", close.alias("literals_close"))
+
+
+def percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Score percentiles of all records: exact, and whether the merged sketch is within two points of rank of them."""
+    df = with_status(order_records(spark, sf))
+    exact = score_percentiles(df)
+    found = template_estimates(merge_template_sketches(_two_runs(spark, sf, template_sketches, df), None))
+    wide = score_percentiles(df, tuple(x for s in SHARES for x in (max(0.0, s - 0.02), min(1.0, s + 0.02))), "b").first()
+    near = reduce(and_, [F.col(f"s.p{round(100 * s)}").between(wide[2 * i], wide[2 * i + 1]) for i, s in enumerate(SHARES)])
+    one = lambda d, a: d.withColumn("one", F.lit(1)).alias(a)  # noqa: E731  a row each
+    return one(exact, "e").join(one(found, "s"), "one").select("e.records", *[f"e.p{round(100 * s)}" for s in SHARES], near.alias("sketch_near"))
+
+
 def profile_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_with_profile(event_records(spark, sf), profile_for("spider"))
+    raw = event_records(spark, sf)
+    named = raw.withColumn("query", F.coalesce("query", "gold_sql", "sql"))  # a dump of this dataset calls it so
+    return normalize_with_profile(named, profile_for("spider"))
 
 
 def spider_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,10 +455,10 @@ def batch_status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
-    """Which statements a stream of events holds; repeated ones within a year are suppressed."""
+    """Which statements a stream of events holds; repeated ones within an hour are suppressed."""
     events = spark.readStream.schema(scan(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     records = normalize(event_records(spark, sf, events), "ts")
-    kept = deduplicated(records, ["sql", "question"], "365 days").select("sql", "question")
+    kept = deduplicated(records, ["sql", "question"], "1 hour").select("sql", "question")
     out = work_folder(spark, "deduplicated")
     write_counts(kept, f"{out}/kept", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(kept.schema).parquet(f"{out}/kept")
@@ -506,6 +600,14 @@ QUERIES: dict[str, Query] = {
     "score_histogram": histogram(COMPAT_CFG),
     "score_histogram_clean": histogram(CLEAN_CFG),
     "bind_templates": bind_templates,
+    "validity": validity,
+    "corpus_round_trip": corpus_round_trip,
+    "catalogue_json": catalogue_json,
+    "dialect_store": dialect_store,
+    "stream_catalogue": stream_catalogue,
+    "support_across_runs": support_across_runs,
+    "literals_across_runs": literals_across_runs,
+    "score_percentiles": percentiles,
     "retrieve_topk": retrieve_topk,
     "retrieve_documents": retrieve_documents,
     "nearest_vectors": nearest_vectors,

@@ -10,7 +10,7 @@ import re
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CurationConfig, dialect_of
@@ -53,6 +53,16 @@ def write_dialects(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).partitionBy("dialect").parquet(path)
 
 
+def rewrite_dialects(df: DataFrame, path: str) -> None:
+    """Replace the sub-folders of the dialects that ``df`` has rows of; the others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dialect").parquet(path)
+
+
+def read_dialect(spark: SparkSession, path: str, dialect: str) -> DataFrame:
+    """The templates of one dialect; only its sub-folder is read."""
+    return spark.read.parquet(path).filter(F.col("dialect") == dialect_of(dialect))
+
+
 def dialect_path(base: str, dialect: str) -> str:
     """The output of one dialect: ``tools.yaml`` becomes ``tools_postgres.yaml``; mysql keeps the name."""
     name = dialect_of(dialect)
