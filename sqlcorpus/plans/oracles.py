@@ -772,6 +772,18 @@ def yaml_sql() -> str:
     )
 
 
+def catalogue_rows_sql(columns: str) -> str:
+    """The accepted order tools, one for each name, statement and question, with lengthened keys."""
+    same = "PARTITION BY tool_name, sql, question"
+    return (
+        f"WITH {OR_BASE}, {statused('od', False)}, nm AS (SELECT *, {name_sql('st', False)} AS tool_name, {sentence_sql('st', 'names')} AS text, {pairs_sql()} AS pairs FROM vs WHERE status = 'success'), "
+        f"ky AS (SELECT *, {key_sql(4)} AS short_key, {id_sql()} AS tool_id, row_number() OVER ({same} ORDER BY ord DESC) AS rn, min(ord) OVER ({same}) AS first_ord FROM nm), "
+        "lst AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY short_key) > 1 THEN short_key || '_' || substr(tool_id, 1, 16) ELSE short_key END AS tool_key FROM ky WHERE rn = 1), "
+        "rw AS (SELECT tool_key, 'mysql-sql' AS kind, 'mysql' AS source, st AS statement, text AS description, pairs AS \"templateParameters\", first_ord FROM lst) "
+        f"SELECT {columns.replace('*', '* EXCLUDE (first_ord)')} FROM rw"
+    )
+
+
 def both_runs_sql() -> str:
     def run(n: int, clean: bool) -> str:
         st = "st_clean" if clean else "st"
@@ -979,12 +991,8 @@ def oracle_sql() -> dict[str, str]:
         "literal_domains": domains_sql(),
         "validity": E + f", {statused('ev', False, low=0)} SELECT ord, reason = '' AS is_valid, reason FROM vs",
         "corpus_round_trip": O + "SELECT ord, question, sql, db_id, source FROM od WHERE ord % 4 = 0",
-        "catalogue_json": (
-            O + f", {statused('od', False)}, nm AS (SELECT *, {name_sql('st', False)} AS tool_name, {sentence_sql('st', 'names')} AS text, {pairs_sql()} AS pairs FROM vs WHERE status = 'success'), "
-            f"ky AS (SELECT *, {key_sql(4)} AS short_key, {id_sql()} AS tool_id, row_number() OVER (PARTITION BY tool_name, sql, question ORDER BY ord DESC) AS rn FROM nm), "
-            "lst AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY short_key) > 1 THEN short_key || '_' || substr(tool_id, 1, 16) ELSE short_key END AS tool_key FROM ky WHERE rn = 1) "
-            "SELECT tool_key, 'mysql-sql' AS kind, 'mysql' AS source, st AS statement, text AS description, pairs AS \"templateParameters\" FROM lst"
-        ),
+        "catalogue_json": catalogue_rows_sql("*"),
+        "catalogue_import": catalogue_rows_sql("*, row_number() OVER (ORDER BY first_ord) - 1 AS ord"),
         "dialect_store": (
             f"SELECT * FROM ({fan_out_sql(True)}) WHERE dialect = 'sqlite' UNION ALL SELECT * FROM ({fan_out_sql(False)}) WHERE dialect = 'postgres'"
         ),

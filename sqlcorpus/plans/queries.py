@@ -39,8 +39,8 @@ from ..operators.sketches import (
     template_sketches,
 )
 from ..session import work_folder
-from ..sources.corpus import corpus_from_lines, read_dump, read_dump_stream
-from ..sources.sinks import catalogue_yaml, read_dialect, rewrite_dialects, settings_of, summary_text, write_catalogue_json, write_corpus, write_dialects
+from ..sources.corpus import corpus_from_lines, read_catalogue_yaml, read_dump, read_dump_stream
+from ..sources.sinks import catalogue_yaml, read_dialect, rewrite_dialects, settings_of, summary_text, write_catalogue_json, write_catalogue_yaml, write_corpus, write_dialects
 from ..sources.store import load_catalogue, upsert_catalogue
 from ..streaming.jobs import curate_stream, deduplicated, status_counts, write_counts
 from .corpora import dealt, event_lines, event_records, odd_lines, order_records, scan
@@ -325,6 +325,15 @@ def catalogue_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("tool_key", "kind", "source", "statement", "description", _pairs(F.col("templateParameters")).alias("templateParameters"))
 
 
+def catalogue_import(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue exported as YAML and read back, with its order."""
+    path = work_folder(spark, "catalogue")
+    upsert_catalogue(spark, catalogue_layout(curate(order_records(spark, sf))), path)
+    write_catalogue_yaml(load_catalogue(spark, path), f"{path}-yaml")
+    tools = read_catalogue_yaml(spark, f"{path}-yaml")
+    return tools.withColumn("templateParameters", _pairs(F.col("templateParameters")))
+
+
 def dialect_store(spark: SparkSession, sf: str) -> DataFrame:
     """Templates by dialect in a folder; SQLite's are then written anew in clean mode, and two dialects read back."""
     path = work_folder(spark, "dialects")
@@ -603,6 +612,7 @@ QUERIES: dict[str, Query] = {
     "validity": validity,
     "corpus_round_trip": corpus_round_trip,
     "catalogue_json": catalogue_json,
+    "catalogue_import": catalogue_import,
     "dialect_store": dialect_store,
     "stream_catalogue": stream_catalogue,
     "support_across_runs": support_across_runs,

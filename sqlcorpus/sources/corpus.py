@@ -159,3 +159,44 @@ def read_dump(spark: SparkSession, path: str, fmt: str = "parquet", split: str |
 def read_dump_stream(spark: SparkSession, path: str, schema, fmt: str = "json", **options) -> DataFrame:
     """The same as a stream of files."""
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
+
+
+# --- exported catalogues ---------------------------------------------------------
+
+# A tool starts at two blanks and a quoted key; all its other lines are indented further, and quoted
+# text holds no line end. So a file can be cut at this text wherever a task's share of it begins.
+TOOL_START = '\n  "'
+_SCALARS = ["kind", "source", "statement", "description", "sql", "quality_score", "labels", "db_id"]
+_PARAMETER = r"\n    - name: (.*)\n      type: (.*)\n      description: (.*)"
+
+
+def read_catalogue_yaml(spark: SparkSession, path: str, viewer: bool = False) -> DataFrame:
+    """An exported YAML catalogue (one file or a folder of parts) as tools, with their position ``ord`` from 0.
+
+    Files are split between tasks at the tools' key lines, whatever their size, and blocks are parsed by column
+    expressions. Other fields of a block are left out; a field that it lacks is null, missing parameters are an
+    empty array. The rows can be searched or merged into a catalogue like those of a run.
+    """
+    blocks = spark.read.option("lineSep", TOOL_START).text(path).select(
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__line"),
+        F.regexp_replace("value", r"^(?:tools:\n)?  \"", "").alias("value"),
+    )
+    blocks = _dense(blocks.filter(F.col("value").rlike(r'^(?:[^"\\]|\\.)*":')))
+
+    def text(raw: Column) -> Column:
+        return F.from_json(F.concat(F.lit('{"v":'), F.nullif(raw, F.lit("")), F.lit("}")), "v string")["v"]
+
+    def field(name: str) -> Column:
+        return text(F.regexp_extract("value", rf"\n    {name}: (.*)", 1)).alias(name)
+
+    named = "parameters" if viewer else "templateParameters"
+    item = [F.regexp_extract_all("value", F.lit(_PARAMETER), F.lit(i)) for i in (1, 2, 3)]
+    objects = F.transform(F.arrays_zip(*[i.alias(n) for i, n in zip(item, "ntd", strict=True)]), lambda p: F.concat(
+        F.lit('{"name":'), p["n"], F.lit(',"type":'), p["t"], F.lit(',"description":'), p["d"], F.lit("}")))
+    params = F.from_json(F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")), "array<struct<name: string, type: string, description: string>>")
+    key = text(F.concat(F.lit('"'), F.regexp_extract("value", r'^((?:[^"\\]|\\.)*")', 1))).alias("tool_key")
+    fields = ["description", "sql", "quality_score", "labels", "db_id", "source"] if viewer else ["kind", "source", "statement", "description"]
+    tools = blocks.select(key, "ord", *[field(f) for f in fields if f in _SCALARS], params.alias(named))
+    return tools.withColumn("quality_score", F.col("quality_score").cast("double")) if viewer else tools

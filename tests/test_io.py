@@ -245,3 +245,36 @@ def test_yaml_heading_stands_before_the_first_tool(spark, tmp_path):
     cat = cat.withColumns({"description": F.lit("d"), "quality_score": F.lit(1.0)})
     sinks.write_catalogue_yaml(cat, str(tmp_path / "y"))
     assert list(yaml.safe_load("".join(parts(tmp_path / "y")))["tools"]) == [f"k{k}" for k in range(30)]
+
+
+def test_an_exported_catalogue_comes_back(spark, tmp_path):
+    """Odd texts, no parameters, several parts, and one file that several tasks share."""
+    from sqlcorpus.sources.corpus import read_catalogue_yaml
+
+    odd = ['say "hi"\n  "x": no', "back\\slash\ttab", "Größe 漢字 😀", "", "    - name: y", "tools:"]
+    item = "array<struct<name: string, type: string, description: string>>"
+    rows = [(f"id{k}", f'k{k}"q' if k % 5 == 0 else f"k{k}", "mysql-sql", "mysql", odd[k % 6] + str(k), odd[(k + 1) % 6], [(odd[(k + i) % 6], "string", odd[(k + i + 1) % 6]) for i in range(k % 4)], 1, 1000 - k, 1) for k in range(300)]
+    cat = spark.createDataFrame(rows, f"tool_id string, tool_key string, kind string, source string, statement string, description string, templateParameters {item}, first_run int, first_ord long, last_run int")
+    sinks.write_catalogue_yaml(cat, str(tmp_path / "y"))
+    one = tmp_path / "one.yaml"
+    one.write_text("".join(parts(tmp_path / "y")), encoding="utf-8")
+    want = [(k, *r[1:7]) for k, r in enumerate(sorted(rows, key=lambda r: r[8]))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for path in (str(tmp_path / "y"), str(one)):
+            df = read_catalogue_yaml(spark, path)
+            got = [(r.ord, r.tool_key, r.kind, r.source, r.statement, r.description, [tuple(p) for p in r.templateParameters]) for r in df.orderBy("ord").collect()]
+            assert got == want
+        assert spark.read.option("lineSep", '\n  "').text(str(one)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert list(yaml.safe_load(one.read_text(encoding="utf-8"))["tools"]) == [r[1] for r in want]
+    # an imported catalogue merges like a run
+    home = str(tmp_path / "cat")
+    store.upsert_catalogue(spark, read_catalogue_yaml(spark, str(one)), home)
+    store.upsert_catalogue(spark, read_catalogue_yaml(spark, str(one)).limit(3), home)
+    assert store.load_catalogue(spark, home).count() == 300
+    sinks.write_catalogue_yaml(cat.filter("false"), str(tmp_path / "ye"))
+    assert read_catalogue_yaml(spark, str(tmp_path / "ye")).count() == 0
