@@ -151,7 +151,7 @@ def test_collocations_of_nothing(odd):
 def test_full_tries_spill_and_lose_nothing(monkeypatch):
     """Small bounds: containers burst, subtrees are spilled, words are forgotten; the sums stay."""
     monkeypatch.setattr(collocations, "TRIE_ENTRIES", 40)
-    monkeypatch.setattr(collocations, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(collocations, "BLOCK_CHARS", 300)
     monkeypatch.setattr(collocations, "TASK_WORDS", 70)
     small = functools.partial(collocations.HatTrie, burst=3)
     monkeypatch.setattr(collocations, "HatTrie", small)
@@ -163,12 +163,13 @@ def test_full_tries_spill_and_lose_nothing(monkeypatch):
             text = " ".join("w" + str(int(rng.paretovariate(0.7))) for _ in range(rng.randint(0, 40)))
             words = text.encode().split()
             want.update(b" ".join(words[i : i + width]) for i in range(len(words) - width + 1))
-            for _, run in counter.add("en", text):
-                assert run == sorted(run)
-                got.update(dict(run))
+            for run in counter.add("en", text):
+                got.update(dict(zip(run.phrases, run.counts.tolist(), strict=True)))
+                assert run.lang == "en" and len(run.prefix) == len(run.phrases)
                 spills += 1
-        for _, run in (*counter.count(), *counter.end()):
-            got.update(dict(run))
+        for run in (*counter.count(), *counter.end()):
+            back, counts = collocations.unpacked(collocations.packed(run.phrases, run.counts))
+            got.update(dict(zip(back.to_pylist(), counts.tolist(), strict=True)))
         assert got == want and spills
 
 
