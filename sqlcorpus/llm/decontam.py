@@ -24,7 +24,7 @@ from .common import ALNUM, stored, words_of
 WINDOW = 13  # words of a phrase; an item with fewer is one phrase
 SHARD_WORDS = 400_000
 SAMPLE_EVERY = 16
-BLOCK_BYTES = 16_000_000  # benchmark text that is looked for in one go, about
+BLOCK_BYTES = 2_000_000  # benchmark text that is looked for in one go, about: some hundred thousand phrases in each task
 LOCATE_AT_ONCE = 200_000
 OVERLAP = WINDOW - 1
 
