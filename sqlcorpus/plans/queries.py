@@ -42,7 +42,7 @@ from ..session import work_folder
 from ..sources.corpus import corpus_from_lines, read_catalogue_yaml, read_dump, read_dump_stream
 from ..sources.sinks import catalogue_yaml, read_dialect, rewrite_dialects, settings_of, summary_text, write_catalogue_json, write_catalogue_yaml, write_corpus, write_dialects
 from ..sources.store import load_catalogue, upsert_catalogue
-from ..streaming.jobs import curate_stream, deduplicated, status_counts, write_counts
+from ..streaming.jobs import curate_stream, deduplicated, read_counts, status_counts, write_counts
 from .corpora import dealt, event_lines, event_records, odd_lines, order_records, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,10 +443,10 @@ def stream_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Status counts per hour from a file stream of events, run until it has caught up."""
     schema = scan(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    counts = status_counts(event_records(spark, sf, events), delay=None)
+    counts = status_counts(event_records(spark, sf, events))
     out = work_folder(spark, "status-counts")
-    write_counts(counts, f"{out}/counts", f"{out}/checkpoint", mode="complete").awaitTermination()
-    return spark.read.parquet(f"{out}/counts")
+    write_counts(counts, f"{out}/counts", f"{out}/checkpoint", mode="update").awaitTermination()
+    return read_counts(spark, f"{out}/counts", ["window_start", "status"])
 
 
 def stream_closed_windows(spark: SparkSession, sf: str) -> DataFrame:

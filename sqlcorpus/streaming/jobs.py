@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -83,11 +83,18 @@ def deduplicated(records: DataFrame, keys: list[str], delay: str = "10 minutes")
 def write_counts(counts: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
     """Write windowed counts to Parquet.
 
-    ``append`` emits a window once the watermark has closed it. ``complete`` rewrites the
-    whole (few-row) table after every batch, for backfills that end.
+    ``append`` emits a window once the watermark has closed it. ``update`` writes the windows that a batch has
+    changed, each batch in a sub-folder of its own that a repeated batch replaces; ``read_counts`` takes the
+    newest count of each window. The table is never away, and the state is that of the open windows.
     """
     trigger = trigger or {"availableNow": True}
     writer = counts.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger)
-    if mode == "complete":
-        return writer.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).start()
+    if mode == "update":
+        return writer.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
     return writer.format("parquet").option("path", path).start()
+
+
+def read_counts(spark: SparkSession, path: str, keys: list[str], value: str = "records") -> DataFrame:
+    """What ``update`` has written: the newest value of each key."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

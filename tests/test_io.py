@@ -278,3 +278,16 @@ def test_an_exported_catalogue_comes_back(spark, tmp_path):
     assert store.load_catalogue(spark, home).count() == 300
     sinks.write_catalogue_yaml(cat.filter("false"), str(tmp_path / "ye"))
     assert read_catalogue_yaml(spark, str(tmp_path / "ye")).count() == 0
+
+
+def test_counts_of_open_windows_are_updated(spark, tmp_path):
+    """Three batches that change the same windows, the last of them run again: the newest counts are read."""
+    from sqlcorpus.streaming.jobs import read_counts, write_counts
+
+    folder = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame([(f"2024-01-01 0{h}:1{k}:00", "x") for h in range(3)], "ts string, status string").coalesce(1).write.mode("append").json(str(folder))
+    stream = spark.readStream.schema("ts timestamp, status string").option("maxFilesPerTrigger", 1).json(str(folder)).withWatermark("ts", "1 day")
+    counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "status").count().select(F.col("w.start").alias("window_start"), "status", F.col("count").alias("records"))
+    write_counts(counts, str(tmp_path / "out"), str(tmp_path / "cp"), mode="update").awaitTermination()
+    assert sorted(r.records for r in read_counts(spark, str(tmp_path / "out"), ["window_start", "status"]).collect()) == [3, 3, 3]
