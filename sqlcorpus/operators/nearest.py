@@ -71,7 +71,8 @@ def build_vectors(vectors: DataFrame, path: str, key: str = "vec_id", vector: st
     heads = heads.groupBy("class").agg(F.array_sort(F.collect_list("id")).alias("heads"))
     alike = rows.groupBy("class").agg(F.min_by("v", "id").alias("v"))
     classes = _stored(heads.join(alike, "class"), f"{path}/classes")
-    centroids = _train(classes, distinct, lists or max(1, min(LISTS, math.isqrt(distinct)))) if distinct else np.zeros((0, dim))
+    wanted = lists or min(LISTS, math.isqrt(distinct))
+    centroids = _train(classes, distinct, wanted) if wanted > 1 else np.zeros((min(1, distinct), dim))  # a few vectors are one cell
     shared = spark.sparkContext.broadcast(centroids)  # LISTS of them at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
