@@ -119,6 +119,9 @@ def nearest(
     if not 0 < k < HEADS:
         raise ValueError(f"k is 1 to {HEADS - 1}")
     meta = spark.read.parquet(f"{path}/meta").first()
+    if not meta.centroids:  # nothing was stored
+        kind = spark.read.parquet(f"{path}/rows").schema["id"].dataType
+        return queries.select(key, F.lit(0).cast("long").alias("rank"), F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("distance")).filter(F.lit(False))
     cells, blocks = spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/blocks")
     dim, top = meta.dim, k + 1
     asked = queries.select(F.col(key).alias("q"), _whole(vector, meta.step).alias("v"))
