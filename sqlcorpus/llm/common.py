@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +26,6 @@ SPACED = keep_only(lambda b: b != 32 and not 9 <= b <= 13)
 #: Words are runs of 0-9, a-z and everything outside ASCII.
 ALNUM = keep_only(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
-_UNSPLIT = bytes(range(0x1C, 0x20))
-
 
 def words_of(text: str | None, table: bytes) -> list[bytes]:
     """The words of a whole text as UTF-8 bytes; none for a null."""
@@ -39,15 +36,11 @@ def words_of(text: str | None, table: bytes) -> list[bytes]:
 
 
 def crc_mod(doc_id: Column | str, m: int) -> Column:
-    """crc32 of the id as text, modulo m."""
+    """crc32 of the id as text, modulo m; null for a null id, which then counts as neither learned from nor held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(c.cast("string").cast("binary")) % F.lit(m)
 
 
-def crc_mod_py(doc_id, m: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % m
-
-
 def fresh(taken: Sequence[str], name: str) -> str:
     """``name``, with as many underscores in front as it takes to clash with no column."""
     low = {c.lower() for c in taken}
