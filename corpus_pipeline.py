@@ -35,7 +35,7 @@ def _joined(marked: DataFrame, mark: str, names: DataFrame, how: str) -> DataFra
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language for sure, go."""
+    """Documents without a letter, null texts among them, or of no language for sure, go; of a tie the first language counts."""
     ship(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"), public_tokenizers.path(VOCABULARY), crc_mod("doc_id", 4) != 2)
     guess, score = fresh(docs.columns, "guess"), fresh(docs.columns, "sure")
@@ -55,7 +55,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one word in twenty or more inside a benchmark phrase go."""
+    """Documents with one word in twenty or more inside a benchmark phrase go.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike and all stay or go.
+    """
     ship(spark)
     marked, mark = _marked(docs)
     found = decontam.contamination(_narrow(marked, mark), table(spark, sf_dir, "benchmark"))
@@ -63,13 +66,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays, with its new length."""
+    """Secrets are masked in the text; every document stays, with its new length. Null texts stay null, repeated rows stay."""
     masked = secrets.scan(docs, secrets.learn(docs), columns_only=True)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, a row for each document; null and empty texts have no tokens."""
     ship(spark)
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
