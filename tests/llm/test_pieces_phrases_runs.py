@@ -158,14 +158,14 @@ def test_full_tries_spill_and_lose_nothing(monkeypatch):
     rng = random.Random(7)
     everything = np.full(4, 2**64 - 1, np.uint64)
     for width in (1, 2, 3, 5):
-        counter, got, want, spills = collocations.Counter(width, everything), Counter(), Counter(), 0
+        counter, got, want, spills = collocations.Counter(width, everything, 7), Counter(), Counter(), 0
         for _ in range(60):
             text = " ".join("w" + str(int(rng.paretovariate(0.7))) for _ in range(rng.randint(0, 40)))
             words = text.encode().split()
             want.update(b" ".join(words[i : i + width]) for i in range(len(words) - width + 1))
             for run in counter.add("en", text):
                 got.update(dict(zip(run.phrases, run.counts.tolist(), strict=True)))
-                assert run.lang == "en" and len(run.prefix) == len(run.phrases)
+                assert run.lang == "en" and sorted(run.part.tolist()) == run.part.tolist() and set(run.part.tolist()) <= set(range(7))
                 spills += 1
         for run in (*counter.count(), *counter.end()):
             back, counts = collocations.unpacked(collocations.packed(run.phrases, run.counts))
