@@ -23,6 +23,7 @@ from .common import ALNUM, stored, words_of
 
 WINDOW = 13  # words of a phrase; an item with fewer is one phrase
 SHARD_WORDS = 400_000
+SHARD_DOCS = 100_000  # documents of a shard at most, however few words they have
 SAMPLE_EVERY = 16
 BLOCK_BYTES = 2_000_000  # benchmark text that is looked for in one go, about: some hundred thousand phrases in each task
 LOCATE_AT_ONCE = 200_000
@@ -204,6 +205,8 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                     if held >= shard_words:
                         yield flush()
                 key += 1
+                if len(documents) >= SHARD_DOCS:
+                    yield flush()
         if documents:
             yield flush()
 

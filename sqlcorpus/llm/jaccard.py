@@ -36,6 +36,8 @@ from .fingerprint import mixed
 SHINGLE = 5
 BITS = 56  # of a shingle's hash; two sets of 10,000 shingles mistake one for another once in a billion pairs
 CHUNK = 1_000_000  # shingles that are sorted together in a task
+CHUNK_DOCS = 100_000  # documents of a chunk at most, however few shingles they have
+RANGE_CHARS = 32 << 20  # of texts, for each range of hashes
 KNOWN_WORDS = 500_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +122,7 @@ def packets(docs: DataFrame, buckets: int) -> DataFrame:
                 heads.append(((task << 36) + doc_no, doc_id, len(s)))
                 sets.append(s)
                 held, doc_no = held + len(s), doc_no + 1
-                if held >= CHUNK:
+                if held >= CHUNK or len(heads) >= CHUNK_DOCS:
                     yield flush()
         if heads:
             yield flush()
@@ -203,7 +205,9 @@ def assembled(rows: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every document's set size, and the listed shingles of those that can link (see ``assembled``), stored."""
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:  # a range of hashes is one task's work, so their number follows the input
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // RANGE_CHARS + 1)
     return stored(assembled(shared_only(packets(docs, buckets))), "shingle-sets")
 
 

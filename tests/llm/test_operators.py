@@ -112,6 +112,20 @@ def test_links_match_brute_force(odd, nothing):
     assert jaccard.link_counts(*jaccard.links_of(nothing, 2)).count() == 0
 
 
+def test_texts_without_words_do_not_gather(odd, monkeypatch):
+    """Small bounds on the documents of a chunk and a shard change no result."""
+    rows = odd.filter("text is null or length(text) < 200")
+    want = Counter(map(tuple, jaccard.near_duplicates(rows, 3).select("doc_id", "n_shingles", "component_id").collect()))
+    phrases = rows.sparkSession.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    hits = Counter((r.doc_id, r.n_words, r.n_hit) for r in decontam.contamination(rows, phrases).collect())
+    assert sum(n > 0 for _, _, n in hits.elements()) >= 2
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(decontam, "SHARD_DOCS", 4)
+    monkeypatch.setattr(jaccard, "RANGE_CHARS", 1000)
+    assert Counter(map(tuple, jaccard.near_duplicates(rows).select("doc_id", "n_shingles", "component_id").collect())) == want
+    assert Counter((r.doc_id, r.n_words, r.n_hit) for r in decontam.contamination(rows, phrases).collect()) == hits
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert jaccard.near_duplicates(nothing, 2).count() == 0
 
