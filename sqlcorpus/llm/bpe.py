@@ -12,7 +12,6 @@ arcs are made when a text first needs them.
 from __future__ import annotations
 
 import base64
-import functools
 import gc
 import hashlib
 import struct
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import held
+
 MAX_STATES = 200_000  # transducer states and memo entries kept at a time; more start anew
 DECODE_CHUNK = 1024  # ids a streaming decode takes at a time
 
@@ -240,9 +241,12 @@ def packed_ids(data: bytes) -> memoryview:
     return memoryview(data).cast("I")
 
 
-@functools.lru_cache(maxsize=2)  # a worker that is used again keeps its states
 def encoder(data: bytes, pattern: str):
-    """text -> ids as little-endian 32-bit integers; one transducer for all calls."""
+    """text -> ids as little-endian 32-bit integers; a worker that is used again keeps its states."""
+    return held("bpe", ("encoder", data, pattern), lambda: _encoder(data, pattern))
+
+
+def _encoder(data: bytes, pattern: str):
     import regex
 
     split, machine = regex.compile(pattern).findall, Transducer(read_ranks(data))
@@ -261,9 +265,12 @@ def encoder(data: bytes, pattern: str):
     return run
 
 
-@functools.lru_cache(maxsize=2)
 def decoder(data: bytes):
     """ids -> text, a chunk of ids at a time."""
+    return held("bpe", ("decoder", data), lambda: _decoder(data))
+
+
+def _decoder(data: bytes):
     machine = Utf8Machine({i: t for t, i in read_ranks(data).items()})
 
     def run(ids: bytes) -> str:

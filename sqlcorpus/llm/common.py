@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,25 @@ def fresh(taken: Sequence[str], name: str) -> str:
     return name
 
 
+_HELD: dict = {"operator": None}
+
+
+def held(operator: str, key, make):
+    """What a Python worker keeps from task to task for one operator; the next operator that asks drops it.
+
+    Workers are used again by later stages, so tables that an operator no longer needs would
+    stand beside those of the next one.
+    """
+    if _HELD["operator"] != operator:
+        _HELD.clear()
+        _HELD["operator"] = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import fresh, words_of
+from .common import fresh, held, words_of
 
 UNKNOWN = "und"
 SHORT_WORD = 32  # up to so many bytes a word's probability is a plain product; longer runs are summed as logarithms
@@ -26,6 +26,7 @@ SAMPLE_DOCS = 1500  # labelled rows a language is learned from, about
 BLOCK_WORDS = 20_000  # words whose segmentations training holds together
 HELD_BLOCKS = 6  # a language of no more blocks keeps them from round to round
 CACHED_BYTES = 24 << 20  # of words and scores that a task keeps at a time
+BATCH_ROWS = 500  # texts of a batch that are Python objects at a time
 STEP_CHARS = 1 << 19  # characters of text whose words are looked up together, about
 LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -325,9 +326,13 @@ def detect(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", score
 
     @F.arrow_udf("lang string, score double")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("langid", "nothing", lambda: None)  # drops what an operator before has left in this worker
         scorer = Scorer(shared.value)
         for texts in batches:
-            names, scores = scorer.predict(texts.to_pylist())
+            names, scores = [], []
+            for k in range(0, len(texts), BATCH_ROWS):
+                for got, all_ in zip(scorer.predict(texts.slice(k, BATCH_ROWS).to_pylist()), (names, scores), strict=True):
+                    all_ += got
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
     # only texts go to Python and only two values come back; a filter on them must not run it twice

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import held
+
 MARK = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 TABLE_CHUNKS = 400_000  # chunks that a task keeps
@@ -227,14 +229,13 @@ class Decoder:
         yield _spelt(bytes(run))
 
 
-@functools.lru_cache(maxsize=2)  # a worker that is used again keeps its table
 def table_of(data: bytes) -> ChunkTable:
-    return ChunkTable(vocabulary_of(data))
+    """A worker that is used again keeps its table."""
+    return held("pieces", ("table", data), lambda: ChunkTable(vocabulary_of(data)))
 
 
-@functools.lru_cache(maxsize=2)
 def decoder_of(data: bytes) -> Decoder:
-    return Decoder(vocabulary_of(data))
+    return held("pieces", ("decoder", data), lambda: Decoder(vocabulary_of(data)))
 
 
 def _model(frame: DataFrame, path: str):
