@@ -14,6 +14,7 @@ from sqlcorpus.llm import bpe, decontam, jaccard, langid, secrets
 from sqlcorpus.llm.common import crc_mod, fresh, ship, stored, table
 from sqlcorpus.llm.queries import VOCABULARY
 
+KEPT_STATES = 60_000  # of the encoder in each worker; the stages before leave the executors less room than a query of its own has
 LEAST_SCORE = 0.5  # posterior below which a language counts as unknown
 
 
@@ -74,7 +75,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, a row for each document; null and empty texts have no tokens."""
     ship(spark)
-    return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, KEPT_STATES)
 
 
 STAGES = [
