@@ -15,9 +15,18 @@ from sqlcorpus.llm.common import crc_mod, fresh, ship, stored, table
 from sqlcorpus.llm.queries import VOCABULARY
 
 KEPT_STATES = 60_000  # of the encoder in each worker; the stages before leave the executors less room than a query of its own has
+BATCH_ROWS = 1_000  # rows in an Arrow batch; Spark's 10,000 whole texts stand in an executor up to four times
 LEAST_SCORE = 0.5  # posterior below which a language counts as unknown
 
 
+def _ready(spark: SparkSession) -> None:
+    """The package on the executors, and Arrow batches that fit whole texts; a smaller setting of the session's own stays."""
+    ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
 def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a hash of each row's text, which tells rows of one doc_id apart."""
     mark = fresh(docs.columns, "mark")
@@ -37,7 +46,7 @@ def _joined(marked: DataFrame, mark: str, names: DataFrame, how: str) -> DataFra
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, null texts among them, or of no language for sure, go; of a tie the first language counts."""
-    ship(spark)
+    _ready(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"), public_tokenizers.path(VOCABULARY), crc_mod("doc_id", 4) != 2)
     guess, score = fresh(docs.columns, "guess"), fresh(docs.columns, "sure")
     judged = langid.detect(docs, model, guess, score)
@@ -46,7 +55,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id, then of the smallest hash. Rows without words all stay."""
-    ship(spark)
+    _ready(spark)
     marked, mark = _marked(docs)
     found = jaccard.near_duplicates(_narrow(marked, mark))
     kept = _joined(marked, mark, found.filter(F.col("doc_id") == F.col("component_id")), "left_semi")
@@ -60,7 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no words and stay; repeated rows are judged alike and all stay or go.
     """
-    ship(spark)
+    _ready(spark)
     marked, mark = _marked(docs)
     found = decontam.contamination(_narrow(marked, mark), table(spark, sf_dir, "benchmark"))
     return _joined(marked, mark, found.filter(decontam.is_contaminated()), "left_anti").select(*docs.columns)
@@ -74,7 +83,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, a row for each document; null and empty texts have no tokens."""
-    ship(spark)
+    _ready(spark)
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, KEPT_STATES)
 
 
