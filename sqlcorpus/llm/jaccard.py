@@ -37,7 +37,7 @@ SHINGLE = 5
 BITS = 56  # of a shingle's hash; two sets of 10,000 shingles mistake one for another once in a billion pairs
 CHUNK = 1_000_000  # shingles that are sorted together in a task
 CHUNK_DOCS = 100_000  # documents of a chunk at most, however few shingles they have
-RANGE_CHARS = 32 << 20  # of texts, for each range of hashes
+RANGE_CHARS = 12 << 20  # of texts, for each range of hashes; a task holds some 50 bytes for each shingle of its range
 KNOWN_WORDS = 500_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
