@@ -71,8 +71,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     _ready(spark)
     marked, mark = _marked(docs)
-    found = decontam.contamination(_narrow(marked, mark), table(spark, sf_dir, "benchmark"))
-    return _joined(marked, mark, found.filter(decontam.is_contaminated()), "left_anti").select(*docs.columns)
+    found = decontam.contamination(_narrow(marked, mark), table(spark, sf_dir, "benchmark")).filter(decontam.is_contaminated())
+    # as a table its size is known before the join is planned: few ids are broadcast and no text is shuffled, many are not
+    return _joined(marked, mark, stored(found.select("doc_id"), "contaminated"), "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
