@@ -169,10 +169,11 @@ def composed_findings(spark: SparkSession, words: tuple[str, ...] = (), each: in
         "digits": F.rpad(F.pmod(F.xxhash64("n"), F.lit(10**16)).cast("string"), 16, "7"),
     }
     made = [
-        F.struct(F.lit(i).alias("context"), kinds[kind].alias("value"), F.concat(word("g"), F.lit(" " + left), kinds[kind], F.lit(right), word("h")).alias("text"), F.lit(float(label)).alias("label"))
+        F.struct(F.lit(i).alias("context"), F.col(kind).alias("value"), F.concat("g", F.lit(" " + left), kind, F.lit(right), "h").alias("text"), F.lit(float(label)).alias("label"))
         for i, (left, kind, right, label) in enumerate(contexts)
     ]
-    texts = spark.range(each).withColumnRenamed("id", "n").select("n", F.inline(F.array(*made)))
+    values = spark.range(each).withColumnRenamed("id", "n").select("n", *[c.alias(k) for k, c in kinds.items()], word("g").alias("g"), word("h").alias("h"))
+    texts = values.select("n", F.inline(F.array(*made)))
     found = with_candidates(texts, "text", "gaps", "found", words).select("n", "context", "value", "label", F.explode("found").alias("f"))
     # a long name before the value can be a finding too, and nobody said what that is
     return found.filter(F.col("f.value").contains(F.col("value"))).select("n", "context", "f.x", "label")
