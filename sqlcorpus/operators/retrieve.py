@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.spots import sealed
 from ..session import work_folder
 
 WORD = r"([\p{L}\p{N}]+)"
 RARE = 32  # words in fewer tools are looked up tool by tool
 HEADS = 100  # keys that a class keeps, and so the largest k
 BLOCK = 1024  # postings of a block
-SALTS = 8  # parts of the list of a frequent word, and of its join with the tools that have it
+SALTS = 8  # parts of the list of a frequent word
 
 
 def words_of(text: Column) -> Column:
@@ -39,49 +40,50 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _salt(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SALTS))
-
-
 def build_index(tools: DataFrame, path: str, key: str = "tool_id", text: str = "description") -> None:
     """Write the index of a catalogue, one row for each ``key``, to a new folder.
 
     Tools with a null or empty text, or without a word, are never found. Every table of the index is
     a folder of Parquet files; nothing of it passes the driver but the number of tools and words.
     """
-    split = tools.select(F.col(key).alias("id"), words_of(F.col(text)).alias("words")).withColumn("len", F.size("words").cast("long"))
-    size = split.agg(F.count_if(F.col("len") > 0).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
-    n = F.lit(size.n)
+    spark = tools.sparkSession
+    # rows of one key meet here, so its words are counted without another shuffle, and texts are computed once
+    near = tools.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    split = sealed(near.select("id", words_of(F.col("text")).alias("words")), "words").withColumn("len", F.size("words").cast("long"))
     uses = split.select("id", "len", F.explode("words").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("uses"))
     uses = _stored(uses, f"{path}/uses")
+    # rows of one length have as many uses as rows times that length
+    lengths = uses.groupBy("len").agg(F.sum("uses").alias("t"))
+    size = lengths.agg(F.coalesce(F.sum(F.expr("t div len")), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    n = F.lit(size.n)
     have = uses.groupBy("word").agg(F.count("*").alias("tools"))
-    salted = have.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rarity = F.greatest(F.lit(1), F.floor(F.log(1 + (n - F.col("tools") + 0.5) / (F.col("tools") + 0.5)) * 1000))
     postings = (
-        uses.withColumn("salt", _salt("id")).join(salted, ["word", "salt"])
-        .withColumns({"rarity": rarity, "norm": F.expr(f"300 + (len * {size.n} * 900) div {max(1, size.t)}")})
-        .select("word", "id", "tools", F.expr("greatest(1, (rarity * uses * 2200) div (1000 * uses + norm))").alias("worth"))
+        uses.join(have, "word")
+        .withColumns({"rarity": rarity, "norm": F.expr(f"300 + (len * {size.n} * 900) div {max(1, size.t)}"), "frequent": F.col("tools") >= RARE})
+        .select("word", "id", F.expr("greatest(1, (rarity * uses * 2200) div (1000 * uses + norm))").alias("worth"), "frequent")
     )
-    postings = _stored(postings, f"{path}/postings")
-    frequent = F.col("tools") >= RARE
-    _stored(postings.filter(~frequent).select("word", "id", "worth"), f"{path}/rare")
-    bags = postings.filter(frequent).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "worth"))).alias("bag"))
-    owners = _stored(bags.withColumn("class", F.sha2(F.to_json("bag"), 256)), f"{path}/bags")
+    postings.write.partitionBy("frequent").parquet(f"{path}/postings")
+    postings = spark.read.schema(postings.schema).parquet(f"{path}/postings")
+    bags = postings.filter("frequent").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "worth"))).alias("bag"))
+    owners = _stored(bags.withColumn("wording", F.sha2(F.to_json("bag"), 256)), f"{path}/bags")
     # both are cut on the map side, so a class with a third of all tools is a few rows in the shuffle
-    first = W.partitionBy("class").orderBy("id")
-    heads = owners.select("class", "id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= HEADS)
-    heads = heads.groupBy("class").agg(F.array_sort(F.collect_list("id")).alias("heads"))
-    alike = owners.groupBy("class").agg(F.min_by("bag", "id").alias("bag"))
-    classes = _stored(heads.join(alike, "class"), f"{path}/classes")
-    lists = classes.select("class", F.col("heads")[0].alias("head"), F.explode("bag").alias("p")).select("class", "head", "p.*")
-    order = ["word", F.desc("worth"), "head"]
+    first = W.partitionBy("wording").orderBy("id")
+    heads = owners.select("wording", "id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= HEADS)
+    heads = heads.groupBy("wording").agg(F.array_sort(F.collect_list("id")).alias("heads"))
+    # from here on a class is a number: its hash in each posting would be larger than all the rest
+    heads = heads.select("heads", F.col("heads")[0].alias("id"))
+    classes = heads.join(owners.select("id", "bag"), "id").select(F.monotonically_increasing_id().alias("class"), "heads", "bag")
+    classes = _stored(classes, f"{path}/classes")
+    lists = classes.select("class", F.explode("bag").alias("p")).select("class", "p.*")
+    order = ["word", F.desc("worth"), "class"]
     placed = lists.repartitionByRange(*order).sortWithinPartitions(*order)
     cut = placed.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).groupBy("word", "block")
     blocks = cut.agg(F.max("worth").alias("top"), F.collect_list(F.struct("class", "worth")).alias("classes"))
     number = F.row_number().over(W.partitionBy("word").orderBy(F.desc("top"), "block"))  # a row for each block
     blocks = _stored(blocks.withColumn("number", number - 1).withColumn("salt", F.pmod("number", F.lit(SALTS))).drop("block"), f"{path}/blocks")
     parts = blocks.groupBy("word").agg(F.least(F.lit(SALTS), F.count("*")).cast("int").alias("parts"))
-    terms = postings.groupBy("word").agg(F.max("tools").alias("tools"), F.max("worth").alias("bound"))
+    terms = postings.groupBy("word").agg(F.count("*").alias("tools"), F.max("worth").alias("bound"))
     _stored(terms.join(parts, "word", "left"), f"{path}/terms")
 
 
@@ -108,6 +110,8 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, ke
         raise ValueError(f"k is 1 to {HEADS}")
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     classes, blocks = read("classes"), read("blocks")
+    kind = read("bags").schema["id"].dataType.simpleString()  # a folder of no postings has no schema
+    postings = spark.read.schema(f"word string, id {kind}, worth long, frequent boolean").parquet(f"{path}/postings")
     asked = questions.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(words_of(F.col(text)))).alias("words"))
     asked = asked.filter(F.size("words") > 0).withColumn("q", F.sha2(F.array_join("words", " "), 256))
     scratch = work_folder(spark, "search")
@@ -120,7 +124,9 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, ke
     leading = blocks.filter("number = 0").select("word", "classes")
     seen = frequent.select("q", "word").join(leading, "word").select("q", F.explode("classes").alias("p"))
     seen = seen.groupBy("q", F.col("p.class").alias("class")).agg(F.sum("p.worth").alias("score"))
-    scored = _best(seen, k, "class").select("q", "class").join(bags, "q").join(classes.select("class", "bag"), "class")
+    # what is joined with bags is stored first: where it is small, Spark knows that and does not shuffle the bags
+    hopeful = _stored(_best(seen, k, "class").select("q", "class").join(bags, "q"), f"{scratch}/hopeful")
+    scored = hopeful.join(classes.select("class", "bag"), "class")
     sure = scored.groupBy("q").agg(F.count("*").alias("n"), F.min(_sum_of(F.col("bag"), F.col("own"))).alias("least"))
     sure = sure.select("q", F.when(F.col("n") == k, F.col("least")).otherwise(0).alias("least"))
 
@@ -133,13 +139,13 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, ke
     found = needed.join(blocks, ["word", "salt"]).filter(F.col("all") - F.col("bound") + F.col("top") >= F.col("least"))
     found = found.select("q", "least", F.explode("classes").alias("p")).groupBy("q", "least", F.col("p.class").alias("class")).agg(F.sum("p.worth").alias("part"))
     found = found.join(resting, "q", "left").filter(F.col("part") + F.coalesce("more", F.lit(0)) >= F.col("least"))
-    whole = found.join(classes, "class")
+    whole = _stored(found, f"{scratch}/found").join(classes, "class")
     whole = whole.withColumn("score", F.col("part") + F.when(F.col("unread").isNull(), 0).otherwise(_sum_of(F.col("bag"), F.col("unread"))))
     whole = whole.filter(F.col("score") >= F.col("least")).select("q", "score", F.col("heads")[0].alias("head"), F.slice("heads", 1, k).alias("heads"))
     common = _best(whole, k, "head").select("q", F.explode("heads").alias("id"), "score")
 
-    rare = words.filter(F.col("tools") < RARE).select("q", "word").join(read("rare"), "word").groupBy("q", "id").agg(F.sum("worth").alias("own_worth"))
-    rare = rare.join(bags, "q", "left").join(read("bags").select("id", "bag"), "id", "left")
+    rare = words.filter(F.col("tools") < RARE).select("q", "word").join(postings.filter("not frequent").drop("frequent"), "word").groupBy("q", "id").agg(F.sum("worth").alias("own_worth"))
+    rare = _stored(rare.join(bags, "q", "left"), f"{scratch}/rare").join(read("bags").select("id", "bag"), "id", "left")
     shared = F.when(F.col("bag").isNull() | F.col("own").isNull(), 0).otherwise(_sum_of(F.col("bag"), F.col("own")))
     rare = rare.select("q", "id", (F.col("own_worth") + shared).alias("score"))
 

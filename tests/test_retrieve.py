@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sqlcorpus.operators import nearest as N
 from sqlcorpus.operators import retrieve as R
@@ -55,6 +56,30 @@ def test_search_matches_scoring_every_tool(spark, tmp_path, monkeypatch, rare, b
         R.search(spark, str(tmp_path / "i"), asked, 101)
 
 
+def test_texts_are_computed_once_and_lists_hold_numbers(spark, tmp_path):
+    """Texts may be dear to compute, and the hash of a class in each posting is larger than the rest of the index."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    tools = spark.createDataFrame([(k, f"one wording {k % 3}") for k in range(120)], "ord long, text string")
+    R.build_index(tools.select("ord", F.udf(read, "string")("text").alias("text")), str(tmp_path / "i"), "ord", "text")
+    assert seen.value == 120
+    blocks = spark.read.parquet(str(tmp_path / "i" / "blocks"))
+    assert dict(blocks.dtypes)["classes"] == "array<struct<class:bigint,worth:bigint>>"
+
+
+def test_repeated_and_null_keys(spark, tmp_path):
+    """Rows of one key and length count as one tool of all their uses; the number of tools is that of the rows."""
+    rows = [(1, "a b"), (1, "a b"), (2, "a c d"), (None, "a"), (3, None)]
+    R.build_index(spark.createDataFrame(rows, "ord long, text string"), str(tmp_path / "i"), "ord", "text")
+    found = R.search(spark, str(tmp_path / "i"), spark.createDataFrame([(1, "b"), (2, "c")], "qid long, question string"))
+    worth = lambda uses, size: max(1, math.floor(math.log(1 + 3.5 / 1.5) * 1000) * uses * 2200 // (1000 * uses + 300 + size * 4 * 900 // 8))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, worth(2, 2)), (2, 1, 2, worth(1, 3))]
+
+
 def test_search_in_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "ord long, text string")
     R.build_index(none, str(tmp_path / "i"), "ord", "text")
