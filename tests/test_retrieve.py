@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,15 @@ def test_exact_search_matches_comparing_with_every_row(spark, tmp_path, monkeypa
         assert len(got & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
 
 
+def test_distances_to_centroids_are_taken_piece_by_piece():
+    """A batch times thousands of cells would not fit a worker."""
+    batch = pa.RecordBatch.from_pydict({"no": list(range(10_000))})
+    for cells in (0, 1, N.LISTS, 10 * N.PAIRS):
+        pieces = list(N._pieces(iter([batch, batch.slice(0, 0)]), cells))
+        assert all(p.num_rows == 1 or 0 < p.num_rows * cells <= N.PAIRS for p in pieces if cells)
+        assert [x for p in pieces for x in p["no"].to_pylist()] == list(range(10_000))
+
+
 def test_vectors_that_cannot_be_compared(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="components"):
