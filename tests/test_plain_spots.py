@@ -1,8 +1,10 @@
 """Statements with one or two spots to a pass are rewritten without the arrays that many spots need."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sqlcorpus.config import CurationConfig
+from sqlcorpus.functions import labels as L
 from sqlcorpus.functions.spots import Rewriter
 from sqlcorpus.functions.templates import extract_templates
 
@@ -35,3 +37,17 @@ def test_three_spots_and_taken_names_take_it(spark):
     first, *rest = _rows(spark, ROWS + [("SELECT a FROM t WHERE b IN ('table')", "", [])])
     assert first[0] == ROWS[0][1] and first[1][:3] == ROWS[0][2]
     assert rest[-1] == ("SELECT {{.select_col}} FROM {{.table_1}} WHERE {{.where_col}} IN ({{.table}})", ["table", "table_1", "select_col", "where_col"])
+
+
+def test_labels_and_names_are_compiled(spark, capsys):
+    rows = [(0, "SELECT COUNT(*) FROM a LEFT JOIN b ON x = y GROUP BY c"), (1, "explain"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "ord long, sql string").repartition(1)
+    found = df.select("ord", L.label_array(F.col("sql")).alias("labels"), L.tool_name(F.col("sql")).alias("name"))
+    assert [(r.labels, r.name) for r in found.orderBy("ord").collect()] == [
+        (["select", "join", "left_join", "count", "grouped"], "select_count_grouped_joined"),
+        ([], "query"),
+        ([], "query"),
+        ([], "query"),
+    ]
+    found.explain()
+    assert "lambda" not in capsys.readouterr().out
