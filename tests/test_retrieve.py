@@ -81,6 +81,51 @@ def test_repeated_and_null_keys(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, worth(2, 2)), (2, 1, 2, worth(1, 3))]
 
 
+def test_shards_together_match_scoring_every_tool(spark, tmp_path, monkeypatch):
+    """Shards of a few tools and parts of a few questions; words that are frequent only over all shards."""
+    monkeypatch.setattr(R, "SHARD", 40)
+    monkeypatch.setattr(R, "QUESTIONS", 3)
+    monkeypatch.setattr(R, "RARE", 12)
+    monkeypatch.setattr(R, "BLOCK", 2)
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.9)) % 300}" for _ in range(rng.randint(0, 15)))
+    tools = [(f"t{k * 7 % 211}", text()) for k in range(200)] + [(f"u{k}", "one wording of many") for k in range(50)]
+    questions = [(k, text()) for k in range(25)] + [(90, "many of one"), (91, "w1 many")]
+    R.build_index(spark.createDataFrame(tools, "ord string, text string").repartition(3), str(tmp_path / "i"), "ord", "text")
+    assert spark.read.parquet(str(tmp_path / "i" / "blocks")).select("shard").distinct().count() > 20
+    got = R.search(spark, str(tmp_path / "i"), spark.createDataFrame(questions, "qid long, question string"), 7)
+    assert Counter(map(tuple, got.collect())) == plain_search(tools, questions, 7)
+
+
+def test_a_key_with_very_many_rows_is_one_tool_of_each_length(spark, tmp_path, monkeypatch):
+    rows = [(1, "a b a")] * 300 + [(1, "a c")] * 200 + [(None, "a d")] * 100 + [(2, "a c d"), (3, "b"), (4, "d e")]
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c a"), (4, "d"), (5, "e d")], "qid long, question string")
+    found = []
+    for size in (R.SHARD, 10):
+        monkeypatch.setattr(R, "SHARD", size)
+        R.build_index(spark.createDataFrame(rows, "ord long, text string").repartition(2), str(tmp_path / f"i{size}"), "ord", "text")
+        found.append(sorted(map(str, R.search(spark, str(tmp_path / f"i{size}"), asked).collect())))
+    assert found[0] == found[1]
+    n, t = 603, 300 * 3 + 200 * 2 + 100 * 2 + 6
+    worth = lambda have, uses, size: max(1, math.floor(math.log(1 + (n - have + 0.5) / (have + 0.5)) * 1000) * uses * 2200 // (1000 * uses + 300 + size * n * 900 // t))
+    got = {(r.qid, r.id): r.score for r in R.search(spark, str(tmp_path / "i10"), asked).collect()}
+    # "a" is in 4 rows of one key and length: 1 of 3 words, 1 of 2, null of 2, 2 of 3
+    assert got[1, 1] == worth(4, 600, 3) + worth(4, 200, 2) and got[1, 2] == worth(4, 1, 3) and got[1, None] == worth(4, 100, 2)
+    assert got[3, 1] == got[1, 1] + worth(2, 200, 2)
+
+
+def test_an_index_takes_less_room_than_its_texts(spark, tmp_path):
+    """Postings were stored five times, words and all: 1.2 times the texts' own Parquet file here, 0.4 in shards."""
+    rng = random.Random(1)
+    words = [f"{rng.randrange(36**5):x}" for _ in range(3000)]
+    text = lambda: " ".join(words[min(2999, int(rng.paretovariate(0.5)))] for _ in range(300))
+    tools = spark.createDataFrame([(k, text()) for k in range(1500)], "ord long, text string").coalesce(1)
+    tools.write.parquet(str(tmp_path / "texts"))
+    R.build_index(spark.read.parquet(str(tmp_path / "texts")), str(tmp_path / "i"), "ord", "text")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet"))
+    assert size("i") < size("texts")
+
+
 def test_search_in_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "ord long, text string")
     R.build_index(none, str(tmp_path / "i"), "ord", "text")
