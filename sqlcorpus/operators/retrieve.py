@@ -8,9 +8,11 @@ The index is cut into *shards* of some thousands of tools, each with lists of it
 travel packed and a search adds them up where they are. Only numbers of tools for each word of a
 shard, and the best tools of a shard, are brought together over shards.
 
-Tools of a shard that agree in all their frequent words are one *class*, so a shard of tools
+Tools that agree in all their frequent words are one *class*, so a catalogue of a million tools
 of one wording is searched as one entry: any of its tools scores the same but for rare words,
-and tools with a rare word of the question are few and are scored one by one.
+and tools with a rare word of the question are few and are scored one by one. A class that several
+tools of a shard are in is taken from its shard and is one over all of them; it keeps its first
+``HEADS`` keys, which is all that a top-k up to ``HEADS`` can take from it.
 
 Lists of classes are stored in blocks by falling worth. A search first takes the leading block
 of each word of a question, which gives a score that the k-th result reaches at least; blocks
@@ -36,11 +38,11 @@ from ..session import work_folder
 
 WORD = r"([\p{L}\p{N}]+)"
 RARE = 32  # words in fewer tools are looked up tool by tool
-HEADS = 100  # the largest k
+HEADS = 100  # keys that a class keeps, and so the largest k
 BLOCK = 1024  # postings of a block
 SHARD = 3 * 2**20  # words of a shard, about
 SHARD_BYTES = 2**26  # and their bytes
-QUESTIONS = 256  # questions that a task searches a shard for
+QUESTIONS = 2**12  # questions that a task searches a shard for
 ENTRY = np.dtype([("row", "<u4"), ("uses", "<u4")])  # a posting on its way; lists and nulls in lists would cost Arrow far more
 
 
@@ -206,42 +208,96 @@ def _placed(n: int, t: int, block: int) -> Callable[[pa.Table], pa.Table]:
         begin = _starts(tool[by])
         bag = np.stack([word[by], worth[by]], axis=1)
         null = ids.is_null().to_numpy(zero_copy_only=False)
-        class_of, numbers, leader = np.full(len(ids), -1, np.int64), {}, np.zeros(len(ids), bool)
+        class_of, numbers, first = np.full(len(ids), -1, np.int64), {}, []
         for a, b in zip(begin, np.append(begin, len(by))[1:], strict=True):
             if not null[d := tool[by[a]]]:
-                seen = len(numbers)
-                class_of[d] = numbers.setdefault(hashlib.sha256(bag[a:b].tobytes()).digest(), seen)
-                leader[d] = class_of[d] == seen
-
-        entry = np.where(often, class_of[tool], tool)
-        kept = np.flatnonzero(~often | leader[tool])
-        word, entry, worth = word[kept], entry[kept], worth[kept]
-        by = np.lexsort((entry, -worth, word))
-        word, entry, worth = word[by], entry[by], worth[by]
-        begin = _starts(word)
-        place_in = np.arange(len(word)) - np.repeat(begin, np.diff(np.append(begin, len(word))))
-        number = place_in // block
-        begin = _starts(word, number)
-        top = worth[begin]
-        by = np.lexsort((entry, number, word))  # inside a block in order, which is stored in less room
-        entry, worth = np.concatenate([class_of, entry[by]]), np.concatenate([np.zeros(len(ids), np.int64), worth[by]])
-        classes = _lists(np.concatenate([[0], begin + len(ids)]), pa.StructArray.from_arrays([pa.array(entry), pa.array(worth)], ["class", "worth"]))
-        count = len(begin)
-        return pa.table(
-            {
-                "shard": pa.array(np.full(count + 1, _one(group["shard"])[0].as_py(), np.int64)),
-                "word": pa.concat_arrays([pa.nulls(1, words.type), words.take(pa.array(word[begin]))]),
-                "frequent": pa.array(np.append(False, frequent[word[begin]])),
-                "number": pa.array(np.append(0, number[begin]), pa.int32()),
-                "top": pa.array(np.append(0, top)),
-                "classes": classes,
-                "ids": pa.concat_arrays([_lists(np.array([0]), ids), pa.nulls(count, pa.list_(ids.type))]),
-            }
-        )
+                c = class_of[d] = numbers.setdefault(hashlib.sha256(bag[a:b].tobytes()).digest(), len(numbers))
+                if c == len(first):
+                    first.append((a, b))
+
+        # classes of several tools may be classes of other shards as well, so they leave this one; lists keep them where tools have rare words
+        alike = np.bincount(class_of[class_of >= 0], minlength=len(first)) > 1
+        has_rare = np.zeros(len(ids), bool)
+        has_rare[tool[~often]] = True
+        listed = ~alike
+        listed[class_of[has_rare & (class_of >= 0)]] = True
+        members = np.argsort(class_of, kind="stable")
+        members = members[class_of[members] >= 0]
+        members = np.split(members, _starts(class_of[members])[1:])
+        heads = [members[c][:HEADS] for c in np.flatnonzero(alike)]
+        bags = [by[a:b] for (a, b), x in zip(first, alike, strict=True) if x]
+        heads = _lists(*_joined(heads, lambda x: ids.take(pa.array(x))))
+        bags = _lists(*_joined(bags, lambda x: pa.StructArray.from_arrays([words.take(pa.array(word[x])), pa.array(worth[x])], ["word", "worth"])))
+
+        leader = np.zeros(len(ids), bool)
+        leader[tool[by[[a for a, _ in first]]]] = listed
+        of_kept = np.append(np.where(listed, np.cumsum(listed) - 1, -1), -1)[class_of]
+        shown = np.append(~alike, False)[class_of]
+        kept = shown | has_rare  # tools that a search can find here
+        entry = np.where(often, of_kept[tool], (np.cumsum(kept) - 1)[tool])
+        some = np.flatnonzero(~often | leader[tool])
+        shard = _one(group["shard"])[0].as_py()
+        return _blocks(shard, words, frequent, word[some], entry[some], worth[some], ids.filter(pa.array(kept)), of_kept[kept], shown[kept], heads, bags, block)
 
     return place
 
 
+def _joined(parts: list[np.ndarray], values: Callable[[np.ndarray], pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Where parts begin, and the values of all of them."""
+    lens = np.array([len(x) for x in parts], np.int64)
+    return np.cumsum(lens) - lens, values(np.concatenate(parts) if parts else np.empty(0, np.int64))
+
+
+def _blocks(shard: int, words: pa.Array, frequent: np.ndarray, word: np.ndarray, entry: np.ndarray, worth: np.ndarray, ids: pa.Array, class_of: np.ndarray, shown: np.ndarray, heads: pa.Array, bags: pa.Array, block: int) -> pa.Table:
+    """A row of the tools (as a class and whether it is found here), the lists of words (of classes; of tools for rare words), and classes that go elsewhere."""
+    by = np.lexsort((entry, -worth, word))
+    word, entry, worth = word[by], entry[by], worth[by]
+    begin = _starts(word)
+    number = (np.arange(len(word)) - np.repeat(begin, np.diff(np.append(begin, len(word))))) // block
+    begin = _starts(word, number)
+    top, of, numbers = worth[begin], word[begin], number[begin]
+    by = np.lexsort((entry, number, word))  # inside a block in order, which is stored in less room
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([class_of, entry[by]])), pa.array(np.concatenate([shown.astype(np.int64), worth[by]]))], ["class", "worth"])
+    count, others = len(begin), len(heads)
+    classes = _lists(np.concatenate([[0], begin + len(ids), np.full(others, len(pairs))]), pairs)
+    none = lambda n, like: pa.nulls(n, like.type)
+    zeros = np.zeros(others, np.int64)
+    return pa.table(
+        {
+            "shard": pa.array(np.full(1 + count + others, shard, np.int64)),
+            "word": pa.concat_arrays([none(1, words), words.take(pa.array(of)), none(others, words)]),
+            "frequent": pa.array(np.concatenate([[False], frequent[of], zeros > 0])),
+            "number": pa.array(np.concatenate([[0], numbers, zeros]), pa.int32()),
+            "top": pa.array(np.concatenate([[0], top, zeros])),
+            "classes": classes,
+            "ids": pa.concat_arrays([_lists(np.array([0]), ids), none(count, heads), heads]),
+            "bag": pa.concat_arrays([none(1 + count, bags), bags]),
+        }
+    )
+
+
+def _gathered(block: int) -> Callable[[pa.Table], pa.Table]:
+    """Classes of one wording each, as their first tools and their words, to a shard of their own."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        heads, bags = _one(group["ids"]), _one(group["bag"])
+        ids, class_of = heads.flatten(), np.repeat(np.arange(len(heads)), np.diff(heads.offsets.to_numpy()))
+        order = pc.sort_indices(ids)
+        ids, class_of = ids.take(order), class_of[order.to_numpy()]
+        rank = np.empty(len(heads), np.int64)
+        rank[np.argsort(np.unique(class_of, return_index=True)[1])] = np.arange(len(heads))  # by their first tools
+        texts, worth = bags.flatten().flatten()
+        words = texts.dictionary_encode()
+        entry = rank[np.repeat(np.arange(len(bags)), np.diff(bags.offsets.to_numpy()))]
+        none = np.empty(0, np.int64)
+        no_heads, no_bags = _lists(none, ids.slice(0, 0)), _lists(none, pa.StructArray.from_arrays([texts.slice(0, 0), worth.slice(0, 0)], ["word", "worth"]))
+        word, words = words.indices.to_numpy().astype(np.int64), words.dictionary
+        shard, all_of = _one(group["shard"])[0].as_py(), lambda x: np.ones(len(x), bool)
+        return _blocks(shard, words, all_of(words), word, entry, worth.to_numpy(), ids, rank[class_of], all_of(ids), no_heads, no_bags, block)
+
+    return gather
+
+
 def build_index(tools: DataFrame, path: str, key: str = "tool_id", text: str = "description") -> None:
     """Write the index of a catalogue, one row for each ``key``, to a new folder.
 
@@ -262,11 +318,18 @@ def build_index(tools: DataFrame, path: str, key: str = "tool_id", text: str = "
     known = F.when(F.col("tools") >= RARE, rarity).otherwise(-rarity)  # never 0; below it the word is rare
     rated = have.select("shard", "at", F.lit("").alias("word"), F.lit(b"").alias("data"), F.array().cast(f"array<{kind}>").alias("ids"), known.alias("known"))
     whole = packed.drop("n", "t").withColumn("known", F.lit(0).cast("long")).unionByName(rated).groupBy("shard")
-    blocks = whole.applyInArrow(
-        _placed(size.n, size.t, BLOCK),
-        f"shard long, word string, frequent boolean, number int, top long, classes array<struct<class:bigint,worth:bigint>>, ids array<{kind}>",
-    )
-    _stored(blocks, f"{path}/blocks")
+    rows = f"shard long, word string, frequent boolean, number int, top long, classes array<struct<class:bigint,worth:bigint>>, ids array<{kind}>, bag array<struct<word:string,worth:bigint>>"
+    blocks = _stored(whole.applyInArrow(_placed(size.n, size.t, BLOCK), rows), f"{path}/blocks")
+    # classes that several tools of a shard are in are one over all shards; they are cut on the map side
+    alike = blocks.filter("bag is not null").select("ids", "bag")
+    shards = 1 + (alike.agg(F.sum(F.size("bag"))).first()[0] or 0) // SHARD
+    alike = alike.withColumn("wording", F.sha2(F.to_json("bag"), 256))
+    first = W.partitionBy("wording").orderBy("id")
+    heads = alike.select("wording", F.explode("ids").alias("id")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= HEADS)
+    heads = heads.groupBy("wording").agg(F.collect_list("id").alias("ids"))
+    whole = heads.join(alike.groupBy("wording").agg(F.first("bag").alias("bag")), "wording")
+    whole = whole.select((-1 - F.pmod(F.xxhash64("wording"), F.lit(shards))).alias("shard"), "ids", "bag")
+    _stored(whole.groupBy("shard").applyInArrow(_gathered(BLOCK), rows), f"{path}/alike")
 
 
 def _best(rows: DataFrame, k: int, tie: str) -> DataFrame:
@@ -280,10 +343,13 @@ def _scored(k: int) -> Callable[[pa.Table], pa.Table]:
 
     def score(group: pa.Table) -> pa.Table:
         tools = group.filter(group["word"].is_null())
-        ids, class_of = _one(tools["ids"]).flatten(), _one(tools["class"]).flatten().to_numpy()
+        ids, class_of, shown = (_one(tools[c]).flatten() for c in ("ids", "class", "worth"))
+        class_of, shown = class_of.to_numpy(), shown.to_numpy() > 0
         by = np.argsort(class_of, kind="stable")
-        by = by[class_of[by] >= 0]  # tools by class, and where each class begins
-        begin = np.append(_starts(class_of[by]), len(by))
+        by = by[shown[by]]  # tools by class, and where each class begins
+        count = int(class_of.max(initial=-1)) + 1
+        begin = np.searchsorted(class_of[by], np.arange(count + 1))
+        here = begin[1:] > begin[:-1]
         group = group.filter(group["word"].is_valid())
         entries, worths, asking = (_one(group[c]) for c in ("class", "worth", "qs"))
         bounds, entries, worths = entries.offsets.to_numpy(), entries.values.to_numpy(), worths.values.to_numpy()
@@ -295,23 +361,25 @@ def _scored(k: int) -> Callable[[pa.Table], pa.Table]:
                 wanted[q].append(r)
         out = []
         for q, rows in wanted.items():
-            total = np.zeros(len(begin) - 1, np.int64)
+            rare = [r for r in rows if not frequent[r]]
+            if not rare and not len(by):
+                continue
+            total = np.zeros(count, np.int64)
 
             def add(r: int) -> None:
                 total[entries[bounds[r] : bounds[r + 1]]] += worths[bounds[r] : bounds[r + 1]]  # noqa: B023
 
-            rare = [r for r in rows if not frequent[r]]
             leading = {words[r]: r for r in rows if frequent[r] and number[r] == 0}
             for r in leading.values():
                 add(r)
             further = [r for r in rows if frequent[r] and number[r] > 0]
             # a tool with a rare word may be a result whatever its class is worth, so then all are added
-            least = np.partition(total, -k)[-k] if further and not rare and len(total) >= k else 0
+            least = np.partition(total[here], -k)[-k] if further and not rare and here.sum() >= k else 0
             most = sum(int(top[r]) for r in leading.values())
             for r in further:
                 if most - top[leading[words[r]]] + top[r] >= least:
                     add(r)
-            hit = np.flatnonzero(total)
+            hit = np.flatnonzero(here & (total > 0))
             if len(hit) > k:
                 hit = hit[total[hit] >= np.partition(total[hit], -k)[-k]]
                 hit = hit[np.argsort(-total[hit], kind="stable")][:k]  # classes are numbered by their first tools
@@ -338,6 +406,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, ke
     if not 0 < k <= HEADS:
         raise ValueError(f"k is 1 to {HEADS}")
     blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = blocks.filter("bag is null").unionByName(spark.read.schema(blocks.schema).parquet(f"{path}/alike")).drop("bag")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     asked = questions.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(words_of(F.col(text)))).alias("words"))
     asked = asked.filter(F.size("words") > 0).withColumn("same", F.sha2(F.array_join("words", " "), 256))
@@ -353,5 +422,6 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, ke
     rows = lists.unionByName(tools)
     rows = rows.withColumns({"class": F.col("classes.class").cast("array<int>"), "worth": F.col("classes.worth")}).drop("classes")
     found = rows.groupBy("shard", "part").applyInArrow(_scored(k), f"q long, id {kind}, score long")
-    best = _best(found, k, "id").join(distinct.select("q", "same"), "q")
+    # a tool with a rare word is scored in its own shard, and may be found without that word as one of its class
+    best = _best(found.groupBy("q", "id").agg(F.max("score").alias("score")), k, "id").join(distinct.select("q", "same"), "q")
     return asked.select("key", "same").join(best, "same").select(F.col("key").alias(key), F.col("rank").cast("long").alias("rank"), "id", "score")

@@ -126,6 +126,22 @@ def test_an_index_takes_less_room_than_its_texts(spark, tmp_path):
     assert size("i") < size("texts")
 
 
+def test_a_wording_of_many_shards_is_one_class(spark, tmp_path, monkeypatch):
+    """Else the work of a search would grow with questions times shards."""
+    monkeypatch.setattr(R, "SHARD", 50)
+    monkeypatch.setattr(R, "HEADS", 10)
+    tools = [(k, f"one wording of {'many' if k % 2 else 'very few'} tools") for k in range(300)] + [(1000 + k, f"one wording of {k}") for k in range(40)]
+    R.build_index(spark.createDataFrame(tools, "ord long, text string"), str(tmp_path / "i"), "ord", "text")
+    shards = spark.read.parquet(str(tmp_path / "i" / "blocks")).filter("bag is null")
+    assert shards.select("shard").distinct().count() > 20
+    alike = spark.read.parquet(str(tmp_path / "i" / "alike"))
+    assert alike.filter("word = 'very'").select(F.sum(F.size("classes"))).first()[0] == 1
+    assert alike.filter("word is null").select(F.sum(F.size("ids"))).first()[0] <= 3 * R.HEADS
+    questions = [(1, "very many tools"), (2, "few"), (3, "wording of 17"), (4, "one 3 8")]
+    got = R.search(spark, str(tmp_path / "i"), spark.createDataFrame(questions, "qid long, question string"), 10)
+    assert Counter(map(tuple, got.collect())) == plain_search(tools, questions, 10)
+
+
 def test_search_in_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "ord long, text string")
     R.build_index(none, str(tmp_path / "i"), "ord", "text")
